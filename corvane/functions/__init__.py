@@ -1 +1 @@
-"""See the README for what this subpackage holds."""
+"""Column expressions: URLs, languages, text."""
