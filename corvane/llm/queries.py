@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corvane.llm import near_duplicates, same_look, similar_vectors
-from corvane.session import table
+from corvane.llm import mixing, near_duplicates, packing, same_look, similar_vectors, site_lines, splitting, token_budget, tokens
+from corvane.session import cut_lineage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +29,57 @@ def p2_groups(spark: SparkSession, root: str) -> DataFrame:
     return near_duplicates.groups(table(spark, root, "chunks").where("chunk_level = 'child'"))
 
 
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    return splitting.found(*(table(spark, root, t) for t in ("normalized_documents", "chunks", "split_limits")))
+
+
+def p3_pieces(spark: SparkSession, root: str) -> DataFrame:
+    return splitting.pieces(splitting.corpus_items(*(table(spark, root, t) for t in ("normalized_documents", "chunks", "split_limits"))))
+
+
+def p6_token_totals(spark: SparkSession, root: str) -> DataFrame:
+    return token_budget.token_totals(table(spark, root, "chunks"), table(spark, root, "indexed_documents"))
+
+
+def p6_fetched_budget(spark: SparkSession, root: str) -> DataFrame:
+    return token_budget.fetched_budget(table(spark, root, "normalized_documents"), "2025-09-01 00:00:00")
+
+
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    return site_lines.found(table(spark, root, "normalized_documents"))
+
+
+def p7_cleaned(spark: SparkSession, root: str) -> DataFrame:
+    return site_lines.without_repeated_lines(table(spark, root, "normalized_documents"))
+
+
+def p8_packed(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents")
+    sizes = tokens.with_tokens(docs.select("doc_id", "text").where("text is not null"), "text")
+    return packing.pack(sizes, packing.capacities_of(table(spark, root, "container_sizes")), docs.count()).withColumnRenamed("id", "doc_id")
+
+
+def p8_fill(spark: SparkSession, root: str) -> DataFrame:
+    """How full the containers of each kind are."""
+    sizes = table(spark, root, "container_sizes").select("container_kind", "capacity_tokens")
+    packed = p8_packed(spark, root).groupBy("container_kind").agg(F.countDistinct("container_id").alias("containers"), F.sum("tokens").alias("tokens"))
+    return packed.join(sizes, "container_kind").select("container_kind", "containers", "tokens", (F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("filled"))
+
+
+def _mix(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, root, "documents").select(F.col("doc_id").alias("id"), "source", "text").where("text is not null")
+    # sizes are written once: the plan of the mix needs their sums before records are drawn
+    return mixing.draw(cut_lineage(tokens.with_tokens(docs, "text")), table(spark, root, "mix_targets"))
+
+
+def p9_selection(spark: SparkSession, root: str) -> DataFrame:
+    return _mix(spark, root)[0].withColumnRenamed("id", "doc_id")
+
+
+def p9_shares(spark: SparkSession, root: str) -> DataFrame:
+    return _mix(spark, root)[1]
+
+
 def p10_found(spark: SparkSession, root: str) -> DataFrame:
     return same_look.found(table(spark, root, "documents"))
 
