@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import mixing, near_duplicates, packing, same_look, similar_vectors, site_lines, splitting, token_budget, tokens
+from corvane.llm import markup, mixing, near_duplicates, packing, residue, same_look, similar_vectors, site_lines, splitting, token_budget, tokens
+from corvane.functions.urls import LANGUAGE_NAMES
 from corvane.session import cut_lineage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +38,23 @@ def p3_pieces(spark: SparkSession, root: str) -> DataFrame:
     return splitting.pieces(splitting.corpus_items(*(table(spark, root, t) for t in ("normalized_documents", "chunks", "split_limits"))))
 
 
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    return markup.found(table(spark, root, "normalized_documents"), table(spark, root, "chunks"))
+
+
+def p4_clean(spark: SparkSession, root: str) -> DataFrame:
+    return markup.cleaned(markup.items(table(spark, root, "normalized_documents"), table(spark, root, "chunks"), pages=True))
+
+
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    return residue.found(table(spark, root, "normalized_documents"))
+
+
+def p5_coverage(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "normalized_documents")
+    return residue.scan(docs, residue.fit_models(docs))
+
+
 def p6_token_totals(spark: SparkSession, root: str) -> DataFrame:
     return token_budget.token_totals(table(spark, root, "chunks"), table(spark, root, "indexed_documents"))
 
@@ -92,5 +110,34 @@ def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
 
 
+#: Host of a URL in DuckDB, as site_of gives it.
+_SITE = "regexp_replace(regexp_extract(lower(trim({0})), '^(?:[a-z][a-z0-9+.\\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)', 1), '^www\\.', '')"
+_PAGE = "coalesce(nullif(source_url, ''), url)"
+_LANGUAGE = "regexp_extract(lower(trim(coalesce(language, ''))), '^([^-_]*)', 1)"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    names = " ".join(f"WHEN '{n}' THEN '{c}'" for n, c in LANGUAGE_NAMES.items())
+    page, site = _PAGE, _SITE.format("page")
+    lines = f"""
+        docs AS (SELECT fetch_id, {page} AS page, markdown FROM normalized_documents WHERE markdown IS NOT NULL),
+        cut AS (SELECT fetch_id, page, {site} AS site, unnest(string_split(markdown, chr(10))) AS line, generate_subscripts(string_split(markdown, chr(10)), 1) - 1 AS line_no FROM docs),
+        keyed AS (SELECT fetch_id, page, site, line_no, regexp_replace(lower(line), '[^\\p{{L}}]+', '', 'g') AS letters FROM cut),
+        held AS (SELECT * FROM keyed WHERE length(letters) >= 15),
+        sizes AS (SELECT site, count(DISTINCT page) AS pages FROM (SELECT page, {site} AS site FROM docs) GROUP BY site),
+        shared AS (SELECT h.site, letters, count(DISTINCT page) AS on_pages FROM held h GROUP BY h.site, letters),
+        repeated AS (SELECT s.site, s.letters, s.on_pages FROM shared s JOIN sizes z ON s.site = z.site WHERE on_pages >= 5 AND on_pages >= 0.1 * pages)"""
+    return {
+        "p3_found": """
+            SELECT 'markdown' AS item_kind, CAST(fetch_id AS VARCHAR) AS item_key FROM normalized_documents, split_limits WHERE item_kind = 'markdown' AND length(markdown) > max_chars
+            UNION SELECT chunk_level, chunk_id FROM chunks, split_limits WHERE item_kind = chunk_level AND length(chunk_text) > max_chars""",
+        "p6_token_totals": f"""
+            WITH spans AS (SELECT DISTINCT document_id, least(token_start, token_end) AS lo, greatest(token_start, token_end) AS hi FROM chunks
+                           WHERE token_start IS NOT NULL AND token_end IS NOT NULL AND document_id IS NOT NULL),
+                 run AS (SELECT *, coalesce(max(hi) OVER (PARTITION BY document_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS before FROM spans),
+                 per AS (SELECT document_id, sum(greatest(0, hi - greatest(lo, before))) AS tokens FROM run GROUP BY document_id),
+                 meta AS (SELECT document_id, {_SITE.format(page)} AS site,
+                                 coalesce(nullif(CASE {_LANGUAGE} {names} ELSE {_LANGUAGE} END, ''), 'und') AS language FROM indexed_documents)
+            SELECT language, site, count(*) AS documents, CAST(coalesce(sum(tokens), 0) AS BIGINT) AS tokens FROM meta LEFT JOIN per USING (document_id) GROUP BY language, site""",
+        "p7_found": f"WITH {lines} SELECT fetch_id, CAST(line_no AS INTEGER) AS line_no FROM held JOIN repeated USING (site, letters)",
+    }
