@@ -1 +1 @@
-"""See the README for what this subpackage holds."""
+"""Operators over the corpus: chunking, retrieval, analysis, evaluation, expansion, merging."""

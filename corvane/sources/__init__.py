@@ -1 +1 @@
-"""See the README for what this subpackage holds."""
+"""Pages, links and the corpus store."""
