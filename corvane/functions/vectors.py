@@ -7,8 +7,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -58,10 +59,11 @@ def search(rows: DataFrame, queries: DataFrame, k: int, floor: float, id_col: st
         return spark.createDataFrame([], schema)
     ok, unit = rows_of(pa.array([list(r["vector"]) for r in asked], pa.list_(pa.float64())), dim)
     held = spark.sparkContext.broadcast((unit, [n for n, o in zip(names, ok) if o]))
+    label = to_arrow_type(queries.schema["query_id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q, name = held.value
-        labels = pa.array(name)
+        labels = pa.array(name, label)
         for b in batches:
             good, x = rows_of(b.column(1), dim)
             ids = b.column(0).filter(pa.array(good))
@@ -77,7 +79,5 @@ def search(rows: DataFrame, queries: DataFrame, k: int, floor: float, id_col: st
 
     hits = rows.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where("id is not null and v is not null").mapInArrow(run, schema)
     hits = hits.groupBy("query_id", "id").agg(F.max("similarity").alias("similarity"))
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")

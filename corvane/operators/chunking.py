@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from corvane import schemas
 from corvane.config import EngineConfig
@@ -332,9 +333,7 @@ def chunks_of(documents: DataFrame, config: EngineConfig = EngineConfig(), token
                 )
         return out
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = to_arrow_schema(schemas.CHUNKS, timezone="UTC")
+    arrow = to_arrow_schema(schemas.CHUNKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -70,16 +70,17 @@ def s9_discover(spark: SparkSession, root: str) -> DataFrame:
 
 
 def s10_enrich(spark: SparkSession, root: str) -> DataFrame:
-    """Links that point to indexed pages, enriched with those pages' titles."""
+    """A map of the pages at depth 0: every link of theirs has the last part of its address as title."""
     links, docs = table(spark, root, "link_candidates"), table(spark, root, "indexed_documents")
-    target = docs.select(F.col("source_url").alias("target_url"), F.col("title").alias("t"), F.col("description").alias("d"), F.col("fetched_at").alias("at"))
-    found = links.select("source_document_id", "target_url").join(target, "target_url").select("source_document_id", "target_url", F.col("t").alias("title"), F.col("d").alias("description"), "at")
-    return link_ops.enrich(links, found, docs).select("source_document_id", "target_url", "title", "description", "enriched_at", "touched")
+    last = F.regexp_extract("target_url", "([^/]+)/?$", 1)
+    mapped = links.join(docs.where("depth = 0").select(F.col("document_id").alias("source_document_id")), "source_document_id", "left_semi")
+    found = mapped.select("source_document_id", "target_url", last.alias("title"), F.concat(F.lit("On "), "source_url").alias("description"), F.col("discovered_at").alias("at"))
+    return link_ops.enrich(links, found, docs).select("source_document_id", "target_url", "title", "description", "touched")
 
 
 def s11_candidates(spark: SparkSession, root: str) -> DataFrame:
     links, docs = table(spark, root, "link_candidates"), table(spark, root, "indexed_documents")
-    return link_ops.candidates(link_ops.once(links), docs, docs.select(F.col("source_url").alias("url"))).select("id", "target_url", "discovered_at")
+    return link_ops.candidates(link_ops.once(links), docs, docs.select(F.col("source_url").alias("url"))).select("id", "target_url", F.unix_micros("discovered_at").alias("discovered_us"))
 
 
 def s16_upsert_actions(spark: SparkSession, root: str) -> DataFrame:
@@ -96,7 +97,7 @@ def s15_cascade(spark: SparkSession, root: str) -> DataFrame:
 
 def s18_document_ids(spark: SparkSession, root: str) -> DataFrame:
     links, docs = table(spark, root, "link_candidates"), table(spark, root, "indexed_documents")
-    return store.document_ids(links.select(F.col("target_url").alias("url")), docs)
+    return store.document_ids(links.select(F.col("source_url").alias("url")), docs)
 
 
 def s19_missing_urls(spark: SparkSession, root: str) -> DataFrame:
@@ -209,7 +210,11 @@ def r18_citations(spark: SparkSession, root: str) -> DataFrame:
 
 
 def q4_analysis(spark: SparkSession, root: str) -> DataFrame:
-    return analysis.analyze(table(spark, root, "documents").select("doc_id", "title"), "title").select("doc_id", "sub_queries", "query_type", "complexity", "key_concepts")
+    return analysis.analyze(table(spark, root, "documents").select("doc_id", "title"), "title").select("doc_id", "sub_queries", "query_type", "complexity")
+
+
+def q6_key_concepts(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "documents").select("doc_id", text.key_concepts(F.col("title")).alias("key_concepts"))
 
 
 def q7_constraints(spark: SparkSession, root: str) -> DataFrame:
