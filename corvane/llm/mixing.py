@@ -87,10 +87,10 @@ def select(records: DataFrame, weights: dict[str, float], tokens: dict[str, int]
     """(id, source, tokens, times): the records (id, source, tokens) that are drawn and how often.
 
     Every record of a source is used in each whole pass; the last pass takes
-    the records in the order of a hash as long as the budget isn't exceeded:
-    whole blocks by a running sum over the blocks' sums, and inside the block
-    where it ends by a running sum over its records. So a source misses its
-    budget by less than one record, and only from below.
+    the records in the order of a hash up to the budget: whole blocks by a
+    running sum over the blocks' sums, and inside the block where it ends by a
+    running sum over its records; the record on the edge is taken if half of it
+    fits. So a source misses its budget by at most half a record.
     """
     spark = records.sparkSession
     plans = []
@@ -106,15 +106,19 @@ def select(records: DataFrame, weights: dict[str, float], tokens: dict[str, int]
     last = sums.where("ends > rest").groupBy("source").agg(F.min("block").alias("last"), F.min(F.struct("block", (F.col("ends") - F.col("size")).alias("before"))).getField("before").alias("before"))
     r = r.join(F.broadcast(last), "source", "left")
     within = Window.partitionBy("source").orderBy("h", "id").rowsBetween(Window.unboundedPreceding, 0)
-    edge = r.where("block = last").withColumn("ends", F.sum("tokens").over(within)).withColumn("extra", (F.col("before") + F.col("ends") <= F.col("rest")).cast("int"))
+    edge = r.where("block = last").withColumn("ends", F.sum("tokens").over(within)).withColumn("extra", (F.col("before") + F.col("ends") - F.col("tokens") / 2 <= F.col("rest")).cast("int"))
     rest = r.where("last is null or block <> last").withColumn("extra", F.coalesce((F.col("block") < F.col("last")).cast("int"), F.lit(1)))
     cols = ["id", "source", "tokens", (F.col("passes") + F.col("extra")).alias("times")]
     return rest.select(*cols).unionByName(edge.select(*cols)).where("times > 0")
 
 
-def draw(records: DataFrame, targets: DataFrame, total: int | None = None) -> tuple[DataFrame, DataFrame]:
+def draw(records: DataFrame, targets: DataFrame, total: int | None = None, entropy_of_targets: bool = False) -> tuple[DataFrame, DataFrame]:
     """The selection (id, source, tokens, times) and the report of the shares reached.
 
+    With ``entropy_of_targets`` the base shares are those of the sources' own
+    tokens, and the power is bisected until the weights are as even as the
+    targets are (their entropy).
+
     ``records`` (id, source, tokens), ``targets`` (source, target_share,
     max_repeats; at most 10,000 sources, each once). Sources that aren't listed
     aren't drawn; null sources, ids and sizes neither, nor records of 0 tokens.
@@ -128,7 +132,14 @@ def draw(records: DataFrame, targets: DataFrame, total: int | None = None) -> tu
     repeats = {r.source: int(r.max_repeats) if r.max_repeats is not None else 1 for r in rows}
     good = records.where("id is not null and source is not null and tokens > 0")
     held = {r.source: int(r.n) for r in good.where(F.col("source").isin(list(shares))).groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
-    weights, power, total_tokens = plan(held, shares, repeats, total)
+    if entropy_of_targets:
+        own = {s: n / sum(held.values()) for s, n in held.items()}
+        goal = entropy(tempered({s: shares[s] for s in own}, 1.0))
+        first = power_for_entropy(own, goal)
+        weights, power, total_tokens = plan(held, tempered(own, first), repeats, total)
+        power *= first
+    else:
+        weights, power, total_tokens = plan(held, shares, repeats, total)
     chosen = select(good, weights, held, total_tokens)
     return chosen, report(records.sparkSession, chosen, shares, weights, power)
 

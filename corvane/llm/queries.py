@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import markup, mixing, near_duplicates, packing, residue, same_look, similar_vectors, site_lines, splitting, token_budget, tokens
 from corvane.functions.urls import LANGUAGE_NAMES
+from corvane.llm import markup, mixing, near_duplicates, packing, residue, same_look, similar_vectors, site_lines, splitting, token_budget, tokens
 from corvane.session import cut_lineage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,10 +84,10 @@ def p8_fill(spark: SparkSession, root: str) -> DataFrame:
     return packed.join(sizes, "container_kind").select("container_kind", "containers", "tokens", (F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("filled"))
 
 
-def _mix(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+def _mix(spark: SparkSession, root: str, **how: object) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, root, "documents").select(F.col("doc_id").alias("id"), "source", "text").where("text is not null")
     # sizes are written once: the plan of the mix needs their sums before records are drawn
-    return mixing.draw(cut_lineage(tokens.with_tokens(docs, "text")), table(spark, root, "mix_targets"))
+    return mixing.draw(cut_lineage(tokens.with_tokens(docs, "text")), table(spark, root, "mix_targets"), **how)
 
 
 def p9_selection(spark: SparkSession, root: str) -> DataFrame:
@@ -98,6 +98,16 @@ def p9_shares(spark: SparkSession, root: str) -> DataFrame:
     return _mix(spark, root)[1]
 
 
+def p9_even_as_targets(spark: SparkSession, root: str) -> DataFrame:
+    """The sources' own shares, tempered to the entropy of the targets."""
+    return _mix(spark, root, entropy_of_targets=True)[1]
+
+
+def p9_fixed_total(spark: SparkSession, root: str) -> DataFrame:
+    """Shares for two million tokens, where the repeat limits bend the weights at the smaller scales."""
+    return _mix(spark, root, total=2_000_000)[1]
+
+
 def p10_found(spark: SparkSession, root: str) -> DataFrame:
     return same_look.found(table(spark, root, "documents"))
 

@@ -17,9 +17,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from corvane.llm.grouping import row_hash, whole_groups
 
@@ -29,12 +28,12 @@ class CrossPolytope:
     """Parameters of the index. ``cells``: signed axes of the last rotation that count, to fit the buckets to the collection."""
 
     dim: int = 64
-    tables: int = 4
+    tables: int = 5
     probes: int = 2
     rotations: int = 2
     cells: int = 0
     seed: int = 17
-    occupancy: int = 128
+    occupancy: int = 512
     tile: int = 4096
     slack: float = 0.02
     sample: int = 20000
@@ -44,12 +43,16 @@ class CrossPolytope:
         return 1 << max(1, (self.dim - 1).bit_length())
 
     def fitted(self, n: int) -> CrossPolytope:
-        """The same index with as many buckets as ``n`` vectors need to lie ``occupancy`` in a bucket."""
+        """The same index with as many buckets as ``n`` vectors need to lie ``occupancy`` in a bucket.
+
+        Narrower buckets find less, so above ten million vectors two tables are added for each tenfold.
+        """
         per, need, full = 2 * self.width, max(2.0, n / self.occupancy), 0
         while need > per:
             need, full = need / per, full + 1
         last = 1 << int(np.ceil(np.log2(max(2.0, need))))
-        return CrossPolytope(**(self.__dict__ | {"rotations": full + 1, "cells": min(last, per)}))
+        more = max(0, round(2 * np.log10(max(n, 1) / 1e7)))
+        return CrossPolytope(**(self.__dict__ | {"rotations": full + 1, "cells": min(last, per), "tables": self.tables + more}))
 
 
 def fast_hadamard(x: np.ndarray) -> np.ndarray:
@@ -182,11 +185,11 @@ def nearest(df: DataFrame, id_col: str = "chunk_id", vec_col: str = "embedding",
             wide = np.pad(x, ((0, 0), (0, p.width - p.dim)))
             for _, probe, key, finer in buckets(wide, p, rot):
                 tiles = np.ones(len(key), np.int64)
-                for h, share in hot.items():
-                    at = key == h
-                    if at.any():
+                for h, parts in hot.items():
+                    at = np.flatnonzero(key == h)
+                    if len(at):
                         key[at] = finer[at]
-                        tiles[at] = max(1, int(np.ceil(share / (2 * p.width) * 4 / p.tile)))
+                        tiles[at] = [parts.get(f, 1) for f in finer[at].tolist()]
                 rows = np.arange(len(key))
                 own = (k1.view(np.uint64) % tiles.astype(np.uint64)).astype(np.int64)
                 if tiles.max() > 1:
@@ -262,28 +265,32 @@ def nearest(df: DataFrame, id_col: str = "chunk_id", vec_col: str = "embedding",
     return per.select("id", F.posexplode("tops").alias("rank", "t")).select("id", (F.col("rank") + 1).alias("rank"), F.col("t.nb").alias("neighbour"), (-F.col("t.m")).alias("cosine"))
 
 
-def _hot_buckets(src: DataFrame, n: int, p: CrossPolytope, rot: np.ndarray) -> dict[int, float]:
-    """Buckets that hold over 1 % of a sample of at most about ``p.sample`` ids, with the rows they should hold in all.
+def _hot_buckets(src: DataFrame, n: int, p: CrossPolytope, rot: np.ndarray) -> dict[int, dict[int, int]]:
+    """Buckets that by a sample of about ``p.sample`` ids hold more than a tile: for each, its finer buckets and the tiles each needs.
 
-    Only how the work is divided hangs on the sample, never the result. The
-    list has at most 100 buckets a table.
+    A bucket needs 40 rows of the sample to be named, so there are at most 500
+    a table, each with twice ``p.width`` finer ones.
     """
     every = max(1, n // p.sample)
-    if n < p.tile:
+    if n <= p.tile:
         return {}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             _, x = _unit_rows(b.column(1), p.dim)
             x = np.pad(x, ((0, 0), (0, p.width - p.dim)))
-            keys = [h for _, probe, h, _ in buckets(x, p, rot) if probe == 0]
-            if keys and len(x):
-                u, c = np.unique(np.concatenate(keys), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(c)], ["h", "c"])
+            both = [np.stack([h, f], 1) for _, probe, h, f in buckets(x, p, rot) if probe == 0]
+            if both and len(x):
+                u, c = np.unique(np.concatenate(both), axis=0, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u[:, 0]), pa.array(u[:, 1]), pa.array(c)], ["h", "f", "c"])
 
     picked = src.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("id", F.col("v").cast("array<float>").alias("v")).where("v is not null")
-    counts = picked.mapInArrow(count, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
-    return {r.h: r.c * every for r in counts.where(F.col("c") > max(40, 0.01 * n / every)).collect()}
+    counts = picked.mapInArrow(count, "h bigint, f bigint, c bigint").groupBy("h", "f").agg(F.sum("c").alias("c"))
+    held = F.sum("c").over(Window.partitionBy("h"))
+    out: dict[int, dict[int, int]] = {}
+    for r in counts.withColumn("held", held).where((F.col("held") >= min(40, p.tile)) & (F.col("held") * every > p.tile)).collect():
+        out.setdefault(r.h, {})[r.f] = max(1, -(-r.c * every // p.tile))
+    return out
 
 
 def found(chunks: DataFrame, k: int = 5, floor: float = 0.85) -> DataFrame:

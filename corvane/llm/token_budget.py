@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from corvane.functions.urls import language_of, page_of, site_of
 from corvane.llm.tokens import VOCABULARY, tokenizer_hash, with_tokens
+from corvane.session import cut_lineage
 
 LEDGER = "content_hash string, tokenizer string, tokens bigint"
 #: Token positions of one block; spans are cut at blocks, so that a document of any length is spread.
@@ -108,8 +109,9 @@ def fetched_budget(fetches: DataFrame, at: str, vocabulary: str = VOCABULARY) ->
     """
     cells = ["language", "site"]
     before, after = newest(fetches, F.col("fetched_at") <= F.lit(at).cast("timestamp")), newest(fetches)
-    first = update_ledger(None, before.select("content_hash", "text"), vocabulary)
-    ledger = first.unionByName(update_ledger(first, after.select("content_hash", "text"), vocabulary))
+    # the ledger is what is kept between runs: written once, so that nothing is encoded twice
+    first = cut_lineage(update_ledger(None, before.select("content_hash", "text"), vocabulary))
+    ledger = first.unionByName(cut_lineage(update_ledger(first, after.select("content_hash", "text"), vocabulary)))
     blank = fetches.sparkSession.createDataFrame([], T.StructType.fromDDL("key string, content_hash string, language string, site string"))
     cube = deltas(blank, before, first, cells, vocabulary)
     return apply_deltas(cube, deltas(before, after, ledger, cells, vocabulary), cells)
