@@ -39,7 +39,7 @@ def count_tokens(text: str | None, vocabulary: str = VOCABULARY) -> int:
 
 def with_tokens(df: DataFrame, text: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """``df`` with ``text`` replaced by ``tokens``; null and empty texts have 0 tokens."""
-    rest = [c for c in df.columns if c != text]
+    rest = [c for c in df.columns if c not in (text, "tokens")]
     fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
