@@ -57,6 +57,7 @@ class Piece:
     html: str | None = None
     images: list[Image] = field(default_factory=list)
     context: str | None = None
+    block_starts: list[int] = field(default_factory=list)
 
 
 def sections(markdown: str) -> list[tuple[str | None, int, int]]:
@@ -101,7 +102,9 @@ def parents_of(markdown: str, most: int, count: Callable[[str], int]) -> list[Pi
 
         def close() -> None:
             if run:
-                out.append(Piece("\n\n".join(markdown[a:b] for a, b in run).strip(), run[0][0], run[-1][1], heading, len(out)))
+                lead = markdown[slice(*run[0])]
+                starts = [run[0][0] + len(lead) - len(lead.lstrip()), *(a for a, _ in run[1:])]
+                out.append(Piece("\n\n".join(markdown[a:b] for a, b in run).strip(), run[0][0], run[-1][1], heading, len(out), block_starts=starts))
                 run.clear()
 
         for a, b in ((lo + x, lo + y) for x, y in blocks(markdown[lo:hi])):
@@ -249,18 +252,24 @@ def merged_images(text: str, at: dom.Node | None) -> list[Image]:
 
 
 def children_of(parent: Piece, whole: HtmlContext | None, most: int, count: Callable[[str], int], first: int = 0) -> list[Piece]:
-    """The pieces of a parent's blocks, in order, with flags, snippets and images."""
+    """The pieces of a parent's blocks, in order, with flags, snippets and images.
+
+    Places are those of the document, also where blocks stand further apart
+    there than in the parent's text.
+    """
     context = whole
     if whole is not None and (scope := whole.best(parent.text)) is not None:
         context = HtmlContext(scope)
     out: list[Piece] = []
-    for a, b in blocks(parent.text):
+    spans = blocks(parent.text)
+    known = parent.block_starts if len(parent.block_starts) == len(spans) else [parent.start + a for a, _ in spans]
+    for (a, b), place in zip(spans, known):
         block, pos = parent.text[a:b], 0
         for t in pieces(block, most, count):
             at = block.find(t, pos)
             at = pos if at < 0 else at
             pos = at + len(t)
-            start = parent.start + a + at
+            start = place + at
             tag = context.best(t) if context is not None else None
             seen = [bool(_TABLE.search(t)), "```" in t, False, False, bool(_NOTE.search(t)), bool(_STEP.search(t))]
             flags = [x or y for x, y in zip(seen, html_flags(tag))]
