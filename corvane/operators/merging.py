@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import space_tokens
@@ -39,22 +40,27 @@ def without_near_duplicates(rows: DataFrame, ceiling: float = 0.85, key: str = "
     """Rows in their order (``ord``) without those whose words agree with a kept row's to more than ``ceiling``; 1 or more keeps all.
 
     A key's rows are the results of one query (at most a few hundred), so the
-    walk runs over one array.
+    walk runs over one small group. Rows without words agree with none.
     """
     if ceiling >= 1:
         return rows
-    words = space_tokens(F.coalesce(F.col(text), F.lit("")))
-    row = F.struct(F.col("ord"), F.col("chunk_id"), words.alias("w"))
-
-    def alike(a: Column, b: Column) -> Column:
-        same = F.size(F.array_intersect(a, b))
-        return (F.size(a) > 0) & (F.size(b) > 0) & (same / (F.size(a) + F.size(b) - same) > ceiling)
-
-    start = F.expr("cast(array() as array<struct<ord:int,chunk_id:string,w:array<string>>>)")
-    kept = F.aggregate(F.array_sort(F.collect_list(row)), start, lambda s, x: F.when(F.exists(s, lambda y: alike(y["w"], x["w"])), s).otherwise(F.array_append(s, x)))
-    cast = rows.withColumn("ord", F.col("ord").cast("int"))
-    ids = cast.groupBy(key).agg(kept.alias("k")).select(key, F.explode(F.transform("k", lambda x: x["chunk_id"])).alias("chunk_id"))
-    return cast.join(ids, [key, "chunk_id"], "left_semi").select(*rows.columns)
+
+    def walk(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["ord", "chunk_id"])
+        kept: list[set[str]] = []
+        keep = []
+        for words in part["words"]:
+            w = set(words)
+            clash = any(len(s := w & k) > ceiling * (len(w) + len(k) - len(s)) for k in kept if len(w) >= ceiling * len(k) and len(k) >= ceiling * len(w)) if w else False
+            keep.append(not clash)
+            if w and not clash:
+                kept.append(w)
+        return part.loc[keep, [key, "chunk_id", "ord"]]
+
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in (key, "chunk_id", "ord"))
+    given = rows.select(key, "chunk_id", "ord", space_tokens(F.coalesce(F.col(text), F.lit(""))).alias("words"))
+    ids = given.groupBy(key).applyInPandas(walk, kinds)
+    return rows.join(ids, [key, "chunk_id", "ord"], "left_semi").select(*rows.columns)
 
 
 def prefix_budget(rows: DataFrame, budget: int, key: str = "query_id", score: str = "score") -> DataFrame:
