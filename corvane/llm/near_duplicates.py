@@ -21,6 +21,7 @@ from corvane.llm.similar_vectors import _binary, _matrix
 BANDS, ROWS = 24, 6
 SKETCH = 32
 TILE = 1024
+SALT = 16
 
 
 def super_min_hash(hashes: np.ndarray, offsets: np.ndarray, slots: int, seed: int = 0) -> tuple[np.ndarray, int]:
@@ -94,9 +95,11 @@ def class_pairs(rows: DataFrame, threshold: float) -> DataFrame:
                 for k in range(BANDS):
                     yield pa.RecordBatch.from_arrays([pa.array(row_hash(bits[:, k * ROWS : (k + 1) * ROWS], k + 1)), c1, c2, n, look], ["bucket", "c1", "c2", "n", "look"])
 
-    bands = reps.mapInArrow(band, "bucket bigint, c1 bigint, c2 bigint, n int, look binary").repartition("bucket")
-    many = bands.groupBy("bucket").agg(F.count("*").alias("held")).where("held > 1")
-    near = bands.join(many, "bucket").withColumn("g", F.ceil(F.col("held") / TILE).cast("int"))
+    # salted, as one bucket may hold a third of all rows; its size is added up from the parts
+    bands = reps.mapInArrow(band, "bucket bigint, c1 bigint, c2 bigint, n int, look binary").withColumn("salt", F.pmod("c2", F.lit(SALT)).cast("int")).repartition("bucket", "salt")
+    held = bands.groupBy("bucket", "salt").agg(F.count("*").alias("held")).groupBy("bucket").agg(F.sum("held").alias("held")).where("held > 1")
+    many = held.withColumn("salt", F.explode(F.array(*(F.lit(i) for i in range(SALT)))))
+    near = bands.join(many, ["bucket", "salt"]).withColumn("g", F.ceil(F.col("held") / TILE).cast("int"))
     # a bucket above TILE rows is cut into g parts; every two parts meet in one tile
     near = near.withColumn("own", F.pmod("c1", F.col("g")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     tiles = near.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "c1", "c2", "n", "look")
