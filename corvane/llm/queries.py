@@ -126,6 +126,18 @@ _PAGE = "coalesce(nullif(source_url, ''), url)"
 _LANGUAGE = "regexp_extract(lower(trim(coalesce(language, ''))), '^([^-_]*)', 1)"
 
 
+def _look_sql(text: str) -> str:
+    """The consistent form in SQL: every character by itself, then composition; from the transducer's own table."""
+    forms = {c: f for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x10000))) if (f := same_look.one_form(c)) != c}
+    one, none = [c for c, f in forms.items() if len(f) == 1], [c for c, f in forms.items() if not f]
+    out = text
+    for c, f in forms.items():
+        if len(f) > 1 and c < "\uff00":
+            out = f"replace({out}, '{c}', '{f}')"
+    quoted = "".join(forms[c] for c in one).replace("'", "''")
+    return f"nfc_normalize(translate({out}, '{''.join(one + none)}', '{quoted}'))"
+
+
 def oracle_sql() -> dict[str, str]:
     names = " ".join(f"WHEN '{n}' THEN '{c}'" for n, c in LANGUAGE_NAMES.items())
     page, site = _PAGE, _SITE.format("page")
@@ -138,6 +150,21 @@ def oracle_sql() -> dict[str, str]:
         shared AS (SELECT h.site, letters, count(DISTINCT page) AS on_pages FROM held h GROUP BY h.site, letters),
         repeated AS (SELECT s.site, s.letters, s.on_pages FROM shared s JOIN sizes z ON s.site = z.site WHERE on_pages >= 5 AND on_pages >= 0.1 * pages)"""
     return {
+        # exact, over all pairs: the hashed search must find every one of them at the scale of this check
+        "p1_found": """
+            WITH v AS (SELECT DISTINCT chunk_id, embedding::DOUBLE[] AS e FROM chunks WHERE chunk_level = 'child' AND embedding IS NOT NULL
+                         AND len(list_filter(embedding, lambda x: isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+                 s AS (SELECT a.chunk_id AS a, b.chunk_id AS b, list_cosine_similarity(a.e, b.e) AS c FROM v a, v b WHERE a.chunk_id <> b.chunk_id),
+                 r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS n FROM s WHERE c >= 0.85)
+            SELECT DISTINCT least(a, b) AS chunk_id_a, greatest(a, b) AS chunk_id_b FROM r WHERE n <= 5""",
+        "p2_found": r"""
+            WITH w AS (SELECT DISTINCT chunk_id, list_distinct(regexp_extract_all(lower(chunk_text), '[\p{L}\p{N}]+', 0)) AS w FROM chunks WHERE chunk_level = 'child'),
+                 v AS (SELECT chunk_id, w, len(w) AS n FROM w WHERE len(w) >= 20)
+            SELECT a.chunk_id AS chunk_id_a, b.chunk_id AS chunk_id_b FROM v a JOIN v b ON a.chunk_id < b.chunk_id AND a.n >= 0.8 * b.n AND b.n >= 0.8 * a.n
+            WHERE 10 * len(list_intersect(a.w, b.w)) >= 8 * (a.n + b.n - len(list_intersect(a.w, b.w)))""",
+        "p10_found": f"""
+            WITH f AS (SELECT doc_id, text, {_look_sql('text')} AS look FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL)
+            SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM f a JOIN f b ON a.look = b.look AND a.doc_id < b.doc_id AND a.text <> b.text""",
         "p3_found": """
             SELECT 'markdown' AS item_kind, CAST(fetch_id AS VARCHAR) AS item_key FROM normalized_documents, split_limits WHERE item_kind = 'markdown' AND length(markdown) > max_chars
             UNION SELECT chunk_level, chunk_id FROM chunks, split_limits WHERE item_kind = chunk_level AND length(chunk_text) > max_chars""",
