@@ -80,8 +80,10 @@ def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     low = 0
     # ends at or before the overlap would give a first piece that holds nothing of its own
     for j in range(1, len(pos)):
-        while pos[j] - start[low] > limit:
+        while low < j and pos[j] - start[low] > limit:
             low += 1
+        if low == j:  # no boundary is near enough
+            continue
         size = pos[j] - start[low:j]
         total = best[low:j] + BALANCE * ((size - even) / limit) ** 2
         total[(pos[low:j] > 0) & (pos[low:j] <= overlap)] = np.inf

@@ -23,6 +23,11 @@ def test_pieces_keep_limit_and_overlap(text, limit, data):
     valid(text, sp.split_text(text, limit, overlap), limit, overlap)
 
 
+def test_marks_at_the_smallest_limit():
+    text = "``\u0301"
+    valid(text, sp.split_text(text, 1, 0), 1, 0)
+
+
 def cost(text, ends, limit, overlap, pos, pen):
     n, c = len(text), -(-(len(text) - overlap) // (limit - overlap))
     even = (n + (c - 1) * overlap) / c
