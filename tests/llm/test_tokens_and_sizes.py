@@ -82,22 +82,25 @@ def test_removed_and_moved_documents(spark):
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 100), max_size=200), st.integers(1, 8))
 def test_best_fit_against_a_plain_search(sizes, most_open):
-    fit, open_, closed = pk.BestFit(100, most_open), {}, Counter()
+    # of equally full containers any may be taken or closed, so open ones are compared by their free space
+    fit, free_of, open_, load = pk.BestFit(100, most_open), {}, [], Counter()
     for s in sizes:
         b = fit.put(s)
-        best = min((f for f in open_.values() if f >= s), default=None)
+        best = min((f for f in open_ if f >= s), default=None)
         if best is None:
             if len(open_) >= most_open:
-                del open_[min(open_, key=open_.get)]
-            assert b not in closed
+                open_.remove(min(open_))  # the fullest
+            assert b not in free_of
             free = 100
         else:
-            assert open_[b] == best  # the least space that fits
-            free = open_.pop(b)
-        closed[b] += s
+            assert free_of[b] == best  # the least space that fits
+            open_.remove(best)
+            free = best
+        load[b] += s
+        free_of[b] = free - s
         if free - s:
-            open_[b] = free - s
-    assert all(v <= 100 for v in closed.values())
+            open_.append(free - s)
+    assert all(v <= 100 for v in load.values()) and len(open_) <= most_open
 
 
 def test_containers_hold_everything_once(spark):
