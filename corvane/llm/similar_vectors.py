@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.grouping import row_hash, whole_groups
@@ -72,9 +72,9 @@ def rotations(p: CrossPolytope) -> np.ndarray:
     Composed once; a product with them gives the same as three transforms and costs less at these widths.
     """
     rng = np.random.default_rng(p.seed)
-    out = np.empty((p.tables, p.rotations + 1, p.width, p.width), np.float32)
+    out = np.empty((p.tables, p.rotations, p.width, p.width), np.float32)
     for t in range(p.tables):
-        for j in range(p.rotations + 1):
+        for j in range(p.rotations):
             m = np.eye(p.width)
             for _ in range(3):
                 m = fast_hadamard(m * rng.choice([-1.0, 1.0], p.width))
@@ -82,17 +82,13 @@ def rotations(p: CrossPolytope) -> np.ndarray:
     return out
 
 
-def buckets(x: np.ndarray, p: CrossPolytope, rot: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(table, probe, bucket, finer bucket) of each row of ``x``; probe 0 is where the row itself is stored."""
+def buckets(x: np.ndarray, p: CrossPolytope, rot: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(table, probe, bucket) of each row of ``x``; probe 0 is where the row itself is stored."""
     n = len(x)
     for t in range(p.tables):
         best, second, gap = np.empty((p.rotations, n), np.int64), np.empty((p.rotations, n), np.int64), np.empty((p.rotations, n))
-        for j in range(p.rotations + 1):
+        for j in range(p.rotations):
             y = x @ rot[t, j]
-            if j == p.rotations:
-                a = np.abs(y).argmax(1)
-                finer = a * 2 + (y[np.arange(n), a] < 0)
-                continue
             if j == p.rotations - 1 and p.cells and p.cells // 2 < p.width:
                 y = y[:, : max(1, p.cells // 2)]
             m = np.abs(y)
@@ -112,8 +108,7 @@ def buckets(x: np.ndarray, p: CrossPolytope, rot: np.ndarray) -> Iterator[tuple[
             if probe:
                 j = order[probe - 1]
                 digits[j, np.arange(n)] = second[j, np.arange(n)]
-            h = row_hash(digits.T.astype(np.uint64), p.seed * 1000 + t)
-            yield t, probe, h, row_hash(np.stack([h.view(np.uint64), finer.astype(np.uint64)], 1), p.seed)
+            yield t, probe, row_hash(digits.T.astype(np.uint64), p.seed * 1000 + t)
 
 
 def _unit_rows(col: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -164,8 +159,8 @@ def nearest(df: DataFrame, id_col: str = "chunk_id", vec_col: str = "embedding",
     vector counts. Copies of one vector are compared as one and expanded at
     the end to at most ``k`` neighbours each, so a vector repeated in a third
     of all rows costs no more than another. A bucket that a bounded sample
-    (``params.sample`` ids) shows to be hot is divided by one more rotation and
-    cut into tiles that are compared tile by tile; nothing is left out. An
+    (``params.sample`` ids) shows to be hot is cut into tiles: a row is
+    stored in one and asks in all of them, so nothing is left out. An
     empty table gives an empty result; other columns are ignored.
     """
     src = df.select(F.col(id_col).cast("string").alias("id"), F.col(vec_col).alias("v"))
@@ -183,13 +178,11 @@ def nearest(df: DataFrame, id_col: str = "chunk_id", vec_col: str = "embedding",
             k1, k2 = b.column(0).to_numpy(), b.column(1).to_numpy()
             q = np.rint(x / np.abs(x).max(1, keepdims=True) * 127).astype(np.int8)
             wide = np.pad(x, ((0, 0), (0, p.width - p.dim)))
-            for _, probe, key, finer in buckets(wide, p, rot):
+            for _, probe, key in buckets(wide, p, rot):
                 tiles = np.ones(len(key), np.int64)
-                for h, parts in hot.items():
-                    at = np.flatnonzero(key == h)
-                    if len(at):
-                        key[at] = finer[at]
-                        tiles[at] = [parts.get(f, 1) for f in finer[at].tolist()]
+                if len(hot):
+                    at = np.minimum(np.searchsorted(hot[:, 0], key), len(hot) - 1)
+                    tiles = np.where(hot[at, 0] == key, hot[at, 1], 1)
                 rows = np.arange(len(key))
                 own = (k1.view(np.uint64) % tiles.astype(np.uint64)).astype(np.int64)
                 if tiles.max() > 1:
@@ -214,12 +207,12 @@ def nearest(df: DataFrame, id_col: str = "chunk_id", vec_col: str = "embedding",
                 at = s + np.flatnonzero(stored[s:e])
                 if e - s < 2 or not len(at):
                     continue
-                for lo in range(s, e, 2048):
-                    sim = q[lo : min(e, lo + 2048)] @ q[at].T
+                for lo, part in ((lo, at[c : c + p.tile]) for c in range(0, len(at), p.tile) for lo in range(s, e, 2048)):
+                    sim = q[lo : min(e, lo + 2048)] @ q[part].T
                     i, j = np.nonzero(sim >= floor - p.slack)
                     if not len(i):
                         continue
-                    v, i, j = sim[i, j], lo + i, at[j]
+                    v, i, j = sim[i, j], lo + i, part[j]
                     keep = (k1[i] != k1[j]) | (k2[i] != k2[j])
                     i, j, v = i[keep], j[keep], v[keep]
                     if len(i) > best:
@@ -265,32 +258,27 @@ def nearest(df: DataFrame, id_col: str = "chunk_id", vec_col: str = "embedding",
     return per.select("id", F.posexplode("tops").alias("rank", "t")).select("id", (F.col("rank") + 1).alias("rank"), F.col("t.nb").alias("neighbour"), (-F.col("t.m")).alias("cosine"))
 
 
-def _hot_buckets(src: DataFrame, n: int, p: CrossPolytope, rot: np.ndarray) -> dict[int, dict[int, int]]:
-    """Buckets that by a sample of about ``p.sample`` ids hold more than a tile: for each, its finer buckets and the tiles each needs.
+def _hot_buckets(src: DataFrame, n: int, p: CrossPolytope, rot: np.ndarray) -> np.ndarray:
+    """(bucket, tiles) sorted by bucket: those that by a sample of about ``p.sample`` ids hold more than a tile, and the tiles each needs.
 
-    A bucket needs 40 rows of the sample to be named, so there are at most 500
-    a table, each with twice ``p.width`` finer ones.
+    A bucket needs 40 rows of the sample to be named, so there are at most 500 a table.
     """
     every = max(1, n // p.sample)
     if n <= p.tile:
-        return {}
+        return np.zeros((0, 2), np.int64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             _, x = _unit_rows(b.column(1), p.dim)
             x = np.pad(x, ((0, 0), (0, p.width - p.dim)))
-            both = [np.stack([h, f], 1) for _, probe, h, f in buckets(x, p, rot) if probe == 0]
-            if both and len(x):
-                u, c = np.unique(np.concatenate(both), axis=0, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(u[:, 0]), pa.array(u[:, 1]), pa.array(c)], ["h", "f", "c"])
+            if len(x):
+                u, c = np.unique(np.concatenate([h for _, probe, h in buckets(x, p, rot) if probe == 0]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(c)], ["h", "c"])
 
     picked = src.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("id", F.col("v").cast("array<float>").alias("v")).where("v is not null")
-    counts = picked.mapInArrow(count, "h bigint, f bigint, c bigint").groupBy("h", "f").agg(F.sum("c").alias("c"))
-    held = F.sum("c").over(Window.partitionBy("h"))
-    out: dict[int, dict[int, int]] = {}
-    for r in counts.withColumn("held", held).where((F.col("held") >= min(40, p.tile)) & (F.col("held") * every > p.tile)).collect():
-        out.setdefault(r.h, {})[r.f] = max(1, -(-r.c * every // p.tile))
-    return out
+    counts = picked.mapInArrow(count, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
+    rows = counts.where((F.col("c") >= min(40, p.tile)) & (F.col("c") * every > p.tile)).collect()
+    return np.array(sorted((r.h, -(-r.c * every // p.tile)) for r in rows), np.int64).reshape(-1, 2)
 
 
 def found(chunks: DataFrame, k: int = 5, floor: float = 0.85) -> DataFrame:

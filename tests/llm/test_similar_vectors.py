@@ -77,6 +77,14 @@ def test_hot_bucket_is_cut_into_tiles_without_loss(spark):
     assert sum(len(set(want[i]) & set(got.get(i, []))) for i in ids) >= 0.9 * 5 * len(ids)
 
 
+def test_tiles_of_hot_buckets_find_what_whole_buckets_do(spark):
+    rng = np.random.default_rng(8)
+    x = np.repeat(rng.normal(size=(500, 64)), 4, 0) + rng.normal(size=64) * 1.1 + 0.55 * rng.normal(size=(2000, 64))  # unrelated: cosine about 0.55
+    rows = [(f"h{i:04d}", v.tolist(), 0, "", 0) for i, v in enumerate(x.astype(np.float32))]
+    whole, tiled = ({(a, b) for a, bs in run(spark, rows, k=20, params=sv.CrossPolytope(tile=tile)).items() for b in bs} for tile in (10**6, 64))
+    assert len(whole) > 1000 and whole == tiled
+
+
 def test_unusable_rows_repeats_and_empty_tables(spark):
     v = [0.5] * 64
     rows = [("a", v, None, None, None), ("a", v, 1, "q", 1), ("b", [2 * x for x in v], 1, "q", 1), ("n", None, 1, "", 1), ("z", [0.0] * 64, 1, "", 1), ("s", [1.0] * 3, 1, "", 1), (None, v, 1, "", 1)]
