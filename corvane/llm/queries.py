@@ -112,6 +112,10 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
     return same_look.found(table(spark, root, "documents"))
 
 
+def p10_members(spark: SparkSession, root: str) -> DataFrame:
+    return same_look.members(table(spark, root, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def p10_consistent(spark: SparkSession, root: str) -> DataFrame:
     return same_look.consistent(table(spark, root, "documents")).withColumnRenamed("id", "doc_id")
 

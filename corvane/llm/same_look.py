@@ -17,6 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.session import cut_lineage
+
+TILE = 1024
+
 #: Letters that are drawn like a Latin letter, and that letter.
 LOOK_ALIKES = (
     ("АВЕКМНОРСТУХЅІЈаеорсухѕіјԁԛԝһӏ", "ABEKMHOPCTYXSIJaeopcyxsijdqwhl"),  # Cyrillic
@@ -145,24 +149,41 @@ def looks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     return rows.mapInArrow(run, f"id {kind}, look binary, written binary")
 
 
+def _copies(rows: DataFrame, expand: int) -> DataFrame:
+    """(look, written, id, rep, small, g): rows of looks with several ways of writing; each way's least id, whether at most ``expand`` ids share it, the look's tiles."""
+    group = rows.groupBy("look").agg(F.min("written").alias("w1"), F.max("written").alias("w2")).where("w1 <> w2").select("look")
+    inside = cut_lineage(rows.join(group, "look").select("look", "written", "id").distinct())
+    way = inside.groupBy("look", "written").agg(F.min("id").alias("rep"), F.count("*").alias("held"))
+    size = way.groupBy("look").agg(F.ceil(F.sum("held") / TILE).cast("int").alias("g"))
+    return inside.join(way, ["look", "written"]).join(size, "look").select("look", "written", "id", "rep", (F.col("held") <= expand).alias("small"), "g")
+
+
 def same_look(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", expand: int = 64) -> DataFrame:
     """Pairs ``(id_a, id_b)``, the smaller id first, of rows that look the same but are written differently.
 
-    Groups of at most ``expand`` rows of one look are given as all such pairs.
-    In a larger group every way of writing has a representative, its least id:
-    each row is paired with the representative of the look's first way of
-    writing, or, if it is written so itself, with that of the second; so the
-    result follows the number of rows and every row of the group appears.
+    All such pairs are given, however many ways of writing a look has, but for
+    one case: of two ways of writing that both have more than ``expand`` exact
+    copies only the representatives, their least ids, are paired, and each
+    copy is paired with the representative of another way. :func:`members`
+    gives every row's representative, from which those pairs follow. A look is
+    joined with itself in tiles, so one look may hold any part of the rows.
     """
-    rows = looks(df, id_col, text_col)
-    group = rows.groupBy("look").agg(F.min("written").alias("w1"), F.max("written").alias("w2"), F.count("*").alias("held")).where("w1 <> w2")
-    inside = rows.join(group, "look")
-    small = inside.where(F.col("held") <= expand).select("look", "id", "written")
-    full = small.select("look", F.col("id").alias("ia"), F.col("written").alias("wa")).join(small.select("look", F.col("id").alias("ib"), F.col("written").alias("wb")), "look").where("ia < ib and wa <> wb")
-    large = inside.where(F.col("held") > expand)
-    rep = large.groupBy("look").agg(F.min(F.when(F.col("written") == F.col("w1"), F.col("id"))).alias("r1"), F.min(F.when(F.col("written") == F.col("w2"), F.col("id"))).alias("r2"))
-    star = large.join(rep, "look").select("id", F.when(F.col("written") == F.col("w1"), F.col("r2")).otherwise(F.col("r1")).alias("other"))
-    return full.select(F.col("ia").alias("id_a"), F.col("ib").alias("id_b")).unionByName(star.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b"))).distinct()
+    rows = _copies(looks(df, id_col, text_col), expand)
+    side = lambda d, s: d.select("look", "tile", F.col("id").alias("i" + s), F.col("written").alias("w" + s), F.col("small").alias("s" + s))
+    own, every = F.pmod(F.xxhash64("id"), F.col("g")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("g") - 1))
+    few, reps = rows.where("small"), rows.where("not small and id = rep")
+    full = side(few.withColumn("tile", own), "a").join(side(rows.withColumn("tile", every), "b"), ["look", "tile"]).where("wa <> wb and (not sb or ia < ib)")
+    ways = side(reps.withColumn("tile", own), "a").join(side(reps.withColumn("tile", every), "b"), ["look", "tile"]).where("ia < ib")
+    ends = rows.groupBy("look").agg(F.min_by("rep", "written").alias("r1"), F.max_by("rep", "written").alias("r2"))
+    star = rows.where("not small").join(ends, "look").select(F.col("id").alias("ia"), F.when(F.col("rep") == F.col("r1"), F.col("r2")).otherwise(F.col("r1")).alias("ib"))
+    pair = full.select("ia", "ib").unionByName(ways.select("ia", "ib")).unionByName(star)
+    return pair.where("ia <> ib").select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b")).distinct()
+
+
+def members(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, written_as, looks_like): for rows of looks with several ways of writing, the least id written the same and the least that looks the same."""
+    rows = _copies(looks(df, id_col, text_col), 0)
+    return rows.join(rows.groupBy("look").agg(F.min("rep").alias("looks_like")), "look").select("id", F.col("rep").alias("written_as"), "looks_like")
 
 
 def found(documents: DataFrame) -> DataFrame:

@@ -88,3 +88,18 @@ def test_large_groups_are_stars(spark):
     got = [tuple(r) for r in sl.same_look(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
     text = dict(rows)
     assert {x for p in got for x in p} == set(range(300)) and len(got) <= 300 and all(a < b and text[a] != text[b] for a, b in got)
+
+
+def test_large_looks_give_every_pair_of_different_writings(spark, monkeypatch):
+    monkeypatch.setattr(sl, "TILE", 16)
+    written = ["".join(c if n >> k & 1 else d for k, (c, d) in enumerate(zip("\u043e\u0435\u0430\u0441\u0440\u0445\u0443\u043e", "oeacpxyo"))) for n in range(256)]
+    rows = [(i, t) for i, t in enumerate(dict.fromkeys(written))][:90]
+    rows += [(100 + i, "Ｂоok") for i in range(63)] + [(200, "Book"), (201, "Bооk")] + [(300 + i, "Next") for i in range(70)] + [(400, "Nехt"), (401, "Ｎext")]
+    got = {tuple(r) for r in sl.same_look(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {(a, b) for a, x in rows for b, y in rows if a < b and x != y and sl.one_form(x) == sl.one_form(y)} and len(got) > 2080
+
+
+def test_members_tell_the_pairs_of_copies(spark):
+    rows = [(i, ["Hello", "Ｈello", "Hellо"][i % 3]) for i in range(300)] + [(900, "alone"), (901, "alone")]
+    got = {tuple(r) for r in sl.members(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {(i, i % 3, 0) for i in range(300)}
