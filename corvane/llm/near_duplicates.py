@@ -67,10 +67,10 @@ def word_hashes(text: str = "text") -> F.Column:
 
 
 def classes(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(id, c1, c2, words): rows with enough words; rows with equal (c1, c2) have the same words."""
+    """(id, c1, c2, words, t1, t2): rows with enough words; rows with equal (c1, c2) have the same words, with equal (t1, t2) the same text."""
     d = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
-    d = d.select("id", word_hashes().alias("words")).where(F.size("words") >= max(1, min_words))
-    return d.select("id", F.xxhash64("words").alias("c1"), F.xxhash64(F.lit(7), "words", F.lit(11)).alias("c2"), "words")
+    d = d.select("id", word_hashes().alias("words"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), "text").alias("t2")).where(F.size("words") >= max(1, min_words))
+    return d.select("id", F.xxhash64("words").alias("c1"), F.xxhash64(F.lit(7), "words", F.lit(11)).alias("c2"), "words", "t1", "t2")
 
 
 def class_pairs(rows: DataFrame, threshold: float) -> DataFrame:
@@ -145,27 +145,36 @@ def links(df: DataFrame, id_col: str = "chunk_id", text_col: str = "chunk_text",
     """Pairs ``(id_a, id_b, similarity)`` of different ids, the smaller first, whose word sets agree to at least ``threshold``.
 
     Rows with a null id or text, or fewer than ``min_words`` words, have no
-    pairs; an id delivered twice counts once for each different text. Classes
-    of equal word sets and links between classes are expanded to pairs of ids
-    where the classes have at most ``expand`` ids; a larger class keeps one
-    representative, its least id, which is linked to each of its members and
-    stands for them in links to other classes, so no link between different
-    texts is lost and the result follows the number of rows. A missed link
-    needs all 24 bands of 6 slots to differ: at 0.8 fewer than 1 in 1000.
+    pairs; an id delivered twice counts once for each different text. Every
+    link between different texts is given. Only a text that more than
+    ``expand`` ids have as exact copies keeps one representative, its least id,
+    which is linked to each copy and stands for them in links to other texts;
+    so the result follows the number of rows. Word sets that many different
+    texts share are joined in tiles. A missed link needs all 24 bands of 6
+    slots to differ: at 0.8 fewer than 1 in 1000.
     """
     rows = classes(df, id_col, text_col, min_words)
     pairs = class_pairs(rows, threshold)
-    size = rows.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.count("*").alias("held"))
-    member = rows.select("id", "c1", "c2").distinct()
-    copied = size.where("rep <> last")
-    inside = member.join(copied.select("c1", "c2", "rep", "held"), ["c1", "c2"])
-    star = inside.where((F.col("held") > expand) & (F.col("id") != F.col("rep"))).select(F.col("rep").alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("similarity"))
-    small = inside.where(F.col("held") <= expand)
-    full = small.select("c1", "c2", F.col("id").alias("id_a")).join(small.select("c1", "c2", F.col("id").alias("id_b")), ["c1", "c2"]).where("id_a < id_b").select("id_a", "id_b", F.lit(1.0).alias("similarity"))
-    # of a class, the ids that stand for it towards other classes
-    stand = small.select("c1", "c2", "id").unionByName(size.where((F.col("rep") == F.col("last")) | (F.col("held") > expand)).select("c1", "c2", F.col("rep").alias("id")))
-    a, b = (stand.select(F.col("c1").alias(s + "1"), F.col("c2").alias(s + "2"), F.col("id").alias("i" + s)) for s in "ab")
-    across = pairs.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).where("ia <> ib").select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"), "similarity")
+    text = ["c1", "c2", "t1", "t2"]
+    member = rows.select("id", *text).distinct()
+    copied = member.groupBy(*text).agg(F.min("id").alias("rep"), F.count("*").alias("held")).where(F.col("held") > expand).drop("held")
+    star = member.join(copied, text).where("id <> rep").select(F.col("rep").alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("similarity"))
+    # the ids that stand for their text in links to other texts
+    stand = member.join(copied, text, "left").where("rep is null or id = rep").select("c1", "c2", "id").distinct()
+    size = stand.groupBy("c1", "c2").agg(F.count("*").alias("held")).where("held > 1")
+    g = F.ceil(F.col("held") / TILE).cast("int")
+    own, every = F.pmod(F.xxhash64("id"), F.col("g")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("g") - 1))
+    inside = stand.join(size.select("c1", "c2", g.alias("g")), ["c1", "c2"])
+    full = inside.select("c1", "c2", own.alias("tile"), F.col("id").alias("id_a")).join(inside.select("c1", "c2", every.alias("tile"), F.col("id").alias("id_b")), ["c1", "c2", "tile"])
+    full = full.where("id_a < id_b").select("id_a", "id_b", F.lit(1.0).alias("similarity"))
+    large = size.where(F.col("held") > TILE).select("c1", "c2", g.alias("g"))
+    cut = stand.join(large, ["c1", "c2"], "left").withColumn("g", F.coalesce("g", F.lit(1))).select("c1", "c2", own.alias("tile"), "id")
+    across = pairs
+    for s in "ab":
+        name = lambda c: F.col(c).alias({"c1": s + "1", "c2": s + "2", "id": "i" + s}.get(c, c))  # noqa: B023, E731
+        across = across.join(large.select(*map(name, ("c1", "c2", "g"))), [s + "1", s + "2"], "left").withColumn("g", F.coalesce("g", F.lit(1))).withColumn("tile", every).drop("g")
+        across = across.join(cut.select(*map(name, ("c1", "c2", "tile", "id"))), [s + "1", s + "2", "tile"]).drop("tile")
+    across = across.where("ia <> ib").select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"), "similarity")
     return full.unionByName(star).unionByName(across).groupBy("id_a", "id_b").agg(F.max("similarity").alias("similarity"))
 
 

@@ -90,6 +90,14 @@ def test_large_classes_of_copies_are_stars(spark):
     assert len(groups) == 101 and {g.group_id for g in groups} == {"c000"}
 
 
+def test_large_classes_of_different_texts_give_every_pair(spark, monkeypatch):
+    monkeypatch.setattr(nd, "TILE", 16)
+    rows = [(f"c{i:03d}", " ".join(VOCAB[i % 30 : 30] + VOCAB[: i % 30]) + "." * (i // 30), 1, "", 1) for i in range(90)]
+    rows += [(f"n{i}", " ".join(VOCAB[1:31]) + "!" * i, 1, "", 1) for i in range(3)]
+    got = {(r.id_a, r.id_b) for r in nd.links(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == brute(rows) and len(got) == 93 * 92 // 2
+
+
 def test_nulls_short_texts_repeats_and_empty(spark):
     t = " ".join(VOCAB[:25])
     rows = [("a", t, None, None, None), ("a", t, 1, "", 1), ("b", t.upper() + " _", 1, "", 1), (None, t, 1, "", 1), ("n", None, 1, "", 1), ("e", "", 1, "", 1), ("s", "few words", 1, "", 1), ("long", " ".join(f"v{i}" for i in range(20000)), 1, "", 1)]
