@@ -51,8 +51,7 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p5_coverage(spark: SparkSession, root: str) -> DataFrame:
-    docs = table(spark, root, "normalized_documents")
-    return residue.scan(docs, residue.fit_models(docs))
+    return residue.coverage(table(spark, root, "normalized_documents"))
 
 
 def p6_token_totals(spark: SparkSession, root: str) -> DataFrame:
