@@ -23,6 +23,8 @@ _ENDS = {
     "thead": {"caption"}, "tfoot": {"tbody", "thead", "tr", "td", "th"},
 }
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}, "optgroup": {"select"}}
+#: What may stand in a head; anything else ends it.
+_IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 _CLOSES_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "body", "html", "legend"}
 
 _TOKEN = re.compile(
@@ -100,6 +102,9 @@ def parse(text: str) -> Node:
     pos, n = 0, len(text)
 
     def put(s: str, decode: bool = True) -> None:
+        nonlocal cur
+        if cur.tag == "head" and not s.isspace() and s:
+            cur = cur.parent or root
         if s:
             s = html.unescape(s) if decode and "&" in s else s
             if cur.children and isinstance(cur.children[-1], str):
@@ -127,6 +132,13 @@ def parse(text: str) -> Node:
                 cur.children.append(Node("br", None, cur))
             continue
         attrs = m["attrs"] or ""
+        if cur.tag == "head" and name not in _IN_HEAD:
+            cur = cur.parent or root
+        elif name == "body":
+            at = cur
+            while at is not None and at.tag != "head":
+                at = at.parent
+            cur = cur if at is None else at.parent or root
         if name in _CLOSES_P:
             at = cur
             while at is not None and at.tag not in ("p", "table", "td", "th", "button", "li", "div"):

@@ -253,6 +253,53 @@ def _inline(n: Node | str) -> str:
     return ("^" + s if n.tag == "sup" else "_" + s if n.tag == "sub" else s) if s else ""
 
 
+def _wrapped(children: list[Node | str]) -> Node:
+    n = Node("div")
+    n.children = children
+    return n
+
+
+def _items(n: Node, tags: tuple[str, ...]) -> Iterator[Node]:
+    """The visible items of a list; what stands between them (text, other elements) is an item of its own."""
+    from corvane.functions.dom import BLOCK
+
+    run: list[Node | str] = []
+    for c in [*n.children, None]:
+        if isinstance(c, str) or (c is not None and c.tag not in BLOCK):
+            run.append(c)
+            continue
+        if any(x.strip() if isinstance(x, str) else _visible(x) for x in run):
+            yield _wrapped(run)
+        run = []
+        if c is not None and _visible(c):
+            yield c if c.tag in (*tags, "ul", "ol", "menu") else _wrapped([c])
+
+
+def _table_parts(n: Node) -> tuple[list[Node], list[list[Node]], Node]:
+    """Captions, rows of cells, and an element with all else a table holds outside its cells; tables inside cells stay there."""
+    captions: list[Node] = []
+    rows: list[list[Node]] = [[]]
+    stray: list[Node | str] = []
+    stack: list[Node | str] = list(reversed(n.children))
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str):
+            stray.append(x)
+        elif x.tag in ("td", "th"):
+            rows[-1].append(x)
+        elif not _visible(x):
+            continue
+        elif x.tag == "caption":
+            captions.append(x)
+        elif x.tag in ("tr", "tbody", "thead", "tfoot") or (x.tag != "table" and any(y.tag in ("tr", "td", "th") for y in x.walk()) and x.find("table") is None):
+            if x.tag in ("tr", "tbody", "thead", "tfoot"):
+                rows.append([])
+            stack += reversed(x.children)
+        else:
+            stray.append(x)
+    return captions, rows, _wrapped(stray)
+
+
 def _block(n: Node, depth: int) -> Iterator[str]:
     """The parts of a block element; runs of inline children become one paragraph."""
     from corvane.functions.dom import BLOCK
@@ -284,22 +331,22 @@ def _block(n: Node, depth: int) -> Iterator[str]:
             yield f"```{lang}\n{c.text().strip(chr(10))}\n```\n\n"
         elif c.tag in ("ul", "ol", "menu"):
             start = int(c.attrs["start"]) if c.attrs.get("start", "").isdigit() else 1
-            for i, item in enumerate(x for x in c.children if isinstance(x, Node) and _visible(x)):
+            for i, item in enumerate(_items(c, ("li",))):
                 mark = f"{start + i}. " if c.tag == "ol" else "- "
                 body = "".join(_block(item, depth + 1)).strip()
                 yield mark + re.sub(r"\n+", "\n" + " " * len(mark), body) + "\n"
             yield "\n"
         elif c.tag == "table":
-            caption = c.find("caption")
-            if caption is not None:
-                yield "".join(_block(caption, depth + 1))
-            rows = [[re.sub(r"\s+", " ", "".join(_block(x, depth + 1))).strip() for x in r.children if isinstance(x, Node) and x.tag in ("td", "th")] for r in c.find_all("tr") if _visible(r)]
+            captions, cells, stray = _table_parts(c)
+            for x in captions:
+                yield "".join(_block(x, depth + 1))
+            rows = [[re.sub(r"\s+", " ", "".join(_block(x, depth + 1))).strip() for x in r] for r in cells]
             yield table_text(rows) + "\n\n"
+            yield from _block(stray, depth + 1)
         elif c.tag == "dl":
-            for x in c.children:
-                if isinstance(x, Node):
-                    s = "".join(_block(x, depth + 1)).strip()
-                    yield (f"**{s}**\n" if x.tag == "dt" else f": {s}\n") if s else ""
+            for x in _items(c, ("dt", "dd", "div")):
+                s = "".join(_block(x, depth + 1)).strip()
+                yield (f"**{s}**\n" if x.tag == "dt" else f": {s}\n") if s else ""
             yield "\n"
         elif c.tag == "blockquote":
             s = "".join(_block(c, depth + 1)).strip()

@@ -46,3 +46,17 @@ def test_table(spark):
     assert {tuple(r) for r in m.found(docs, chunks).collect()} == {("markdown", "1"), ("html_text", "c")}
     assert m.found(docs.limit(0), chunks.limit(0)).count() == 0
     assert {(r.field, r.item_key, r.text) for r in m.cleaned(m.items(docs, chunks.limit(0), pages=True)).collect()} == {("markdown", "1", "a **x**"), ("markdown", "3", ""), ("html", "1", "h"), ("html", "3", "")}
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<table><tr><td>one<td>two</tr><p>three</p><div>four <b>five</b></div><h2>six</h2>", "<table>one<tr>two<td>three</td>four<p>five</p></tr><tbody>six<tr><td>seven</table>eight",
+        "<html><head><title>T</title><body><p>one</p>two</body></html>", "<html><head><meta charset=x><p>one<p>two", "<head><title>T</title>one<p>two", "<ul>one<li>two</li>three <b>four</b><p>five</p></ul>six",
+        "<ol>one<li>two</ol><dl>three<dt>four<dd>five</dd>six<p>seven</p></dl>", "<table><form><tr><td>one</td></tr></form><tr><td><table><tr><td>two</td></tr></table></td></tr></table>three",
+    ],
+)
+def test_no_visible_word_of_broken_pages_is_lost(html):
+    words = "one two three four five six seven eight".split()
+    text = m.render(html)
+    assert [text.count(w) for w in words] == [html.count(w) for w in words]
