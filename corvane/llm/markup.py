@@ -22,7 +22,7 @@ from corvane.functions.dom import KNOWN, Node, parse
 
 _FENCE = re.compile(r"^[ \t]{0,3}(?P<f>`{3,}|~{3,})[^\n]*(?:\n|\Z)(?:.*?^[ \t]{0,3}(?P=f)[`~]*[ \t]*$|.*\Z)", re.M | re.S)
 _INLINE = re.compile(r"(?<!`)(`{1,2})(?!`)[^\n]*?[^`\n]\1(?!`)")
-_FORMULA = re.compile(r"\$\$.+?\$\$|\\\[.+?\\\]|\\\(.+?\\\)|(?<![\\$\w])\$(?=[^\s$])(?:[^$\n]{0,300}?[^\s\\$])?\$(?![\d$])", re.S)
+_FORMULA = re.compile(r"\$\$.+?\$\$|\\\[.+?\\\]|\\\(.+?\\\)|(?<![\\$\w])\$(?=[^\s$])(?:[^$\n]*?[^\s\\$])?\$(?![\d$])", re.S)
 _PLACEHOLDER = re.compile(r"\{\{\{?\s*[\w.\-]+\s*\}?\}\}|\{%[^%\n]*%\}|<%[^%\n]*%>|[$#]\{[^{}\n]*\}|<<[^<>\n]+>>")
 
 _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<!(?:doctype|\[CDATA\[)[^>]*>?", re.S | re.I)

@@ -60,3 +60,8 @@ def test_no_visible_word_of_broken_pages_is_lost(html):
     words = "one two three four five six seven eight".split()
     text = m.render(html)
     assert [text.count(w) for w in words] == [html.count(w) for w in words]
+
+
+def test_long_inline_formulas_are_set_aside():
+    text = "So $" + " + ".join(f"\\frac{{a_{i}}}{{b}}" for i in range(60)) + "$ holds."
+    assert m.clean_markdown(text) == (text, []) and m.without_code(text)[0] == "So   holds."
