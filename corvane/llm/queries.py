@@ -19,7 +19,7 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p1_nearest(spark: SparkSession, root: str) -> DataFrame:
-    return similar_vectors.nearest(table(spark, root, "chunks").where("chunk_level = 'child'"))
+    return similar_vectors.nearest(table(spark, root, "chunks").where("chunk_level = 'child'"), floor=None)
 
 
 def p2_found(spark: SparkSession, root: str) -> DataFrame:

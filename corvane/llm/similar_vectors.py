@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.grouping import row_hash, whole_groups
+from corvane.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -148,11 +149,13 @@ def _unit(df: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame:
     return df.select(F.col(id_col).cast("string").alias("id"), F.col(vec_col).cast("array<float>").alias("v")).where("id is not null and v is not null").mapInArrow(run, "id string, k1 bigint, k2 bigint, vec binary")
 
 
-def nearest(df: DataFrame, id_col: str = "chunk_id", vec_col: str = "embedding", k: int = 5, floor: float = 0.85, params: CrossPolytope = CrossPolytope()) -> DataFrame:
+def nearest(df: DataFrame, id_col: str = "chunk_id", vec_col: str = "embedding", k: int = 5, floor: float | None = 0.85, params: CrossPolytope = CrossPolytope()) -> DataFrame:
     """The ``k`` most similar rows of every row: ``(id, rank, neighbour, cosine)``.
 
     Neighbours under ``floor`` are not given; the index is built to find at
-    least 0.9 of those above it (measured in the tests and the README). Vectors
+    least 0.9 of those above it (measured in the tests and the README). Without
+    a floor the nearest of all that the probes collect are given, and a row for
+    which they are fewer than ``k`` is compared with every vector. Vectors
     that are null, of another length than ``params.dim``, all zero or hold NaN,
     infinity or null have no rows. Equal similarity: the smaller id first. A
     row counts once per id; of rows of one id with different vectors each
@@ -209,7 +212,11 @@ def nearest(df: DataFrame, id_col: str = "chunk_id", vec_col: str = "embedding",
                     continue
                 for lo, part in ((lo, at[c : c + p.tile]) for c in range(0, len(at), p.tile) for lo in range(s, e, 2048)):
                     sim = q[lo : min(e, lo + 2048)] @ q[part].T
-                    i, j = np.nonzero(sim >= floor - p.slack)
+                    if floor is None:
+                        top = np.argpartition(-sim, min(best, len(part) - 1), axis=1)[:, : best + 1]
+                        i, j = np.repeat(np.arange(len(sim)), top.shape[1]), top.ravel()
+                    else:
+                        i, j = np.nonzero(sim >= floor - p.slack)
                     if not len(i):
                         continue
                     v, i, j = sim[i, j], lo + i, part[j]
@@ -226,20 +233,27 @@ def nearest(df: DataFrame, id_col: str = "chunk_id", vec_col: str = "embedding",
                 i, j, v = (np.concatenate(x) for x in zip(*found))
                 yield pa.RecordBatch.from_arrays([pa.array(k1[i]), pa.array(k2[i]), pa.array(k1[j]), pa.array(k2[j]), pa.array(v.astype(np.float32))], ["a1", "a2", "b1", "b2", "near"])
 
+    def candidates(asked: DataFrame) -> DataFrame:
+        cand = asked.repartition("bucket", "tile").sortWithinPartitions("bucket", "tile").mapInArrow(compare, out_schema)
+        if floor is not None:
+            return cand.select("a1", "a2", "b1", "b2").distinct()  # at most tables * probes * best for an asking vector
+        top = F.slice(F.array_sort(F.collect_set(F.struct((-F.col("near")).alias("m"), "b1", "b2"))), 1, best)
+        return cand.groupBy("a1", "a2").agg(top.alias("top")).select("a1", "a2", F.explode("top").alias("b")).select("a1", "a2", "b.b1", "b.b2").distinct()
+
     asked = group.select("k1", "k2", "vec").mapInArrow(spread, "bucket bigint, tile int, k1 bigint, k2 bigint, stored boolean, q binary")
-    asked = asked.repartition("bucket", "tile").sortWithinPartitions("bucket", "tile")
-    cand = asked.mapInArrow(compare, out_schema)
-    pair = cand.select("a1", "a2", "b1", "b2").distinct()  # at most tables * probes * best for an asking vector
     vec = lambda s: group.select(F.col("k1").alias(s + "1"), F.col("k2").alias(s + "2"), F.col("vec").alias(s + "v"))
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, y = _matrix(b.column(4), np.float32, p.dim).astype(np.float64), _matrix(b.column(5), np.float32, p.dim).astype(np.float64)
             cos = (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1))
-            keep = cos >= floor
+            keep = cos >= (-2.0 if floor is None else floor)
             yield pa.RecordBatch.from_arrays([*(b.column(c).filter(pa.array(keep)) for c in range(4)), pa.array(np.minimum(cos[keep], 1.0))], ["a1", "a2", "b1", "b2", "cos"])
 
-    ranked = pair.join(vec("a"), ["a1", "a2"]).join(vec("b"), ["b1", "b2"]).select("a1", "a2", "b1", "b2", "av", "bv").mapInArrow(exact, "a1 bigint, a2 bigint, b1 bigint, b2 bigint, cos double")
+    def rank(asked: DataFrame) -> DataFrame:
+        return candidates(asked).join(vec("a"), ["a1", "a2"]).join(vec("b"), ["b1", "b2"]).select("a1", "a2", "b1", "b2", "av", "bv").mapInArrow(exact, "a1 bigint, a2 bigint, b1 bigint, b2 bigint, cos double")
+
+    ranked = rank(asked)
 
     # the k + 1 least ids of a vector that several ids have; salted, so no group is gathered at once
     shared = group.where("least <> most").select("k1", "k2")
@@ -249,6 +263,13 @@ def nearest(df: DataFrame, id_col: str = "chunk_id", vec_col: str = "embedding",
     some = some.groupBy("k1", "k2").agg(few(F.flatten(F.collect_list("ids"))).alias("ids"))
     ids = group.select("k1", "k2", "least").join(some, ["k1", "k2"], "left").select("k1", "k2", F.coalesce("ids", F.array("least")).alias("ids"))
 
+    if floor is None:
+        ranked = cut_lineage(ranked)
+        known = ranked.select(F.col("a1").alias("k1"), F.col("a2").alias("k2")).unionByName(some.select("k1", "k2", F.explode(F.slice("ids", 2, k))).drop("col")).groupBy("k1", "k2").agg(F.count("*").alias("known"))
+        short = cut_lineage(group.select("k1", "k2", "vec").join(known, ["k1", "k2"], "left").where(F.coalesce("known", F.lit(0)) < k).select("k1", "k2", "vec"))
+        if not short.isEmpty():
+            ranked = ranked.unionByName(rank(_everywhere(group.select("k1", "k2", "vec"), short, n, p))).groupBy("a1", "a2", "b1", "b2").agg(F.max("cos").alias("cos"))
+
     hit = ranked.join(ids.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), "ids"), ["b1", "b2"]).select(F.col("a1").alias("k1"), F.col("a2").alias("k2"), "cos", F.explode("ids").alias("nb"))
     own = some.select("k1", "k2", F.lit(1.0).alias("cos"), F.explode("ids").alias("nb"))
     tops = hit.unionByName(own).groupBy("k1", "k2").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("cos")).alias("m"), F.col("nb").alias("nb")))), 1, k + 1).alias("tops"))
@@ -258,6 +279,21 @@ def nearest(df: DataFrame, id_col: str = "chunk_id", vec_col: str = "embedding",
     return per.select("id", F.posexplode("tops").alias("rank", "t")).select("id", (F.col("rank") + 1).alias("rank"), F.col("t.nb").alias("neighbour"), (-F.col("t.m")).alias("cosine"))
 
 
+def _everywhere(stored: DataFrame, asking: DataFrame, n: int, p: CrossPolytope) -> DataFrame:
+    """Rows for the comparison in one bucket of all: each of ``stored`` in one tile, each of ``asking`` in every."""
+    tiles = -(-n // p.tile)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = _matrix(b.column(3), np.float32, p.dim)
+            q = np.rint(x / np.abs(x).max(1, keepdims=True) * 127).astype(np.int8)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(q), np.int64)), *(b.column(c) for c in (0, 1, 2, 4)), _binary(q)], ["bucket", "tile", "k1", "k2", "stored", "q"])
+
+    one = stored.select(F.pmod("k1", F.lit(tiles)).cast("int").alias("tile"), "k1", "k2", "vec", F.lit(True).alias("stored"))
+    all_ = asking.select(F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"), "k1", "k2", "vec", F.lit(False).alias("stored"))
+    return one.unionByName(all_).mapInArrow(run, "bucket bigint, tile int, k1 bigint, k2 bigint, stored boolean, q binary")
+
+
 def _hot_buckets(src: DataFrame, n: int, p: CrossPolytope, rot: np.ndarray) -> np.ndarray:
     """(bucket, tiles) sorted by bucket: those that by a sample of about ``p.sample`` ids hold more than a tile, and the tiles each needs.
 

@@ -85,6 +85,17 @@ def test_tiles_of_hot_buckets_find_what_whole_buckets_do(spark):
     assert len(whole) > 1000 and whole == tiled
 
 
+def test_every_row_has_k_without_a_floor(spark, monkeypatch):
+    x = np.random.default_rng(6).normal(size=(600, 64)).astype(np.float32)  # no two alike
+    ids = [f"r{i:03d}" for i in range(len(x))]
+    rows, want = [(i, v.tolist(), 0, "", 0) for i, v in zip(ids, x)], brute(ids, x.astype(float), 5, -2)
+    got = run(spark, rows, floor=None)
+    assert {i: len(v) for i, v in got.items()} == dict.fromkeys(ids, 5)
+    # buckets so narrow that the probes find next to nothing: the rows are compared with every vector
+    got = run(spark, rows, floor=None, params=sv.CrossPolytope(occupancy=1, tables=1, probes=1, tile=128))
+    assert all(len(v) == 5 for v in got.values()) and sum(got[i] == want[i] for i in ids) > 400
+
+
 def test_unusable_rows_repeats_and_empty_tables(spark):
     v = [0.5] * 64
     rows = [("a", v, None, None, None), ("a", v, 1, "q", 1), ("b", [2 * x for x in v], 1, "q", 1), ("n", None, 1, "", 1), ("z", [0.0] * 64, 1, "", 1), ("s", [1.0] * 3, 1, "", 1), (None, v, 1, "", 1)]
