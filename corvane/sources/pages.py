@@ -81,8 +81,8 @@ def ingest(requested: DataFrame, pages: DataFrame) -> DataFrame:
 
     ``requested`` (position, requested_url). Pages match by :func:`match_key`;
     several requests of one key take its pages in turn, by url and time. Pages
-    of no request then fill the failed places in order, if any are left, as a
-    service that redirects gives pages under other addresses.
+    of no request are left out; :func:`fill_unmatched` puts them into the failed
+    places, as a service that redirects gives pages under other addresses.
     """
     in_key = Window.partitionBy("match_key")
     r = requested.withColumn("match_key", match_key(F.col("requested_url"))).withColumn("turn", F.row_number().over(in_key.orderBy("position")))
