@@ -47,6 +47,15 @@ def test_variants_repeats_and_odd_rows(spark):
     assert ln.found(spark.createDataFrame([], SCHEMA)).count() == 0 and ln.without_repeated_lines(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_dense_containers_are_bit_strings(spark):
+    """Above 2,048 places a container is a bit string with the same places."""
+    want = {0: set(range(0, 30000, 3)), 1: {5, 32767}, 2: set(range(2049))}
+    held = spark.createDataFrame([("s", 1, c, sorted(p)) for c, p in want.items()], "site string, k1 bigint, container bigint, places array<smallint>")
+    got = ln.compressed(held).withColumn("n", ln.F.bitmap_count("bits")).withColumn("all", ln.places_of(ln.F.col("places"), ln.F.col("bits"))).collect()
+    assert {r.container: set(r.all) for r in got} == want
+    assert {r.container: r.n for r in got} == {0: 10000, 1: None, 2: 2049} and {r.container for r in got if r.places is None} == {0, 2}
+
+
 @pytest.mark.parametrize("a, b", [("Ｈｅｌｌｏ１", "Hello1"), ("é", "é"), ("ﾊﾞｽ", "バス"), ("ガ", "ガ"), ("a​b­", "ab"), ("a b c　", "a b c "), ("раура", "paypa"), ("ο", "o"), ("ﬁn", "fin"), ("ё", "ë"), ("（x）", "(x)"), ("e‍́", "é"), ("ｱ️", "ア")])
 def test_equal_looks(a, b):
     assert sl.one_form(a) == sl.one_form(b)
