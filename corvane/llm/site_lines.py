@@ -35,10 +35,9 @@ def hashed_pages(documents: DataFrame, min_letters: int = 15) -> DataFrame:
     return documents.where("markdown is not null").select("fetch_id", F.coalesce(site_of(page), F.lit("")).alias("site"), page.alias("page"), held.alias("lines"))
 
 
-def numbered(documents: DataFrame) -> DataFrame:
-    """(site, page, page_no): every page with markdown; numbers are written once, so that a lost executor can't change them."""
-    page = page_of()
-    pages = documents.where("markdown is not null").select(F.coalesce(site_of(page), F.lit("")).alias("site"), page.alias("page")).distinct()
+def numbered(rows: DataFrame) -> DataFrame:
+    """(site, page, page_no): every page of rows (site, page); numbers are written once, so that a lost executor can't change them."""
+    pages = rows.select("site", "page").distinct()
     return cut_lineage(pages.repartitionByRange("site", "page").sortWithinPartitions("site", "page").withColumn("page_no", F.monotonically_increasing_id()))
 
 
@@ -89,7 +88,9 @@ def repeated_lines(documents: DataFrame, min_pages: int = 5, min_share: float =
     own. Every step is spread by line and container or by page, so a line in a
     third of all rows is no large group.
     """
-    rows, pages = hashed_pages(documents, min_letters), numbered(documents)
+    # the hashes are written once: they are read for the bitmaps and for the lookup, and are about a quarter of the text
+    rows = cut_lineage(hashed_pages(documents, min_letters))
+    pages = numbered(rows)
     lines = _on_page(rows, pages).select("site", "page_no", F.explode("lines").alias("l")).select("site", "page_no", "l.v", "l.k1", "l.k2")
     shared = shared_lines(lines, pages, min_pages, min_share)
     # the lines to delete on each page, read from the bitmaps
