@@ -27,7 +27,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def row_hash(words: np.ndarray, seed: int) -> np.ndarray:
     """One int64 for each row of a matrix of uint64; position and seed count."""
-    out = np.full(len(words), np.uint64(seed))
+    # the seed is mixed first: seeds that differ in a few bits must not meet small words
+    out = np.repeat(mix64(np.array([seed], np.uint64)), len(words))
     for j in range(words.shape[1]):
         out = mix64(out ^ words[:, j])
     return out.view(np.int64)

@@ -22,6 +22,12 @@ def p1_nearest(spark: SparkSession, root: str) -> DataFrame:
     return similar_vectors.nearest(table(spark, root, "chunks").where("chunk_level = 'child'"), floor=None)
 
 
+def p1_recall(spark: SparkSession, root: str) -> DataFrame:
+    """Whether the hashed search gives at least 0.9 of the true five nearest of a stated set of rows, compared with every vector."""
+    r = similar_vectors.recall(table(spark, root, "chunks").where("chunk_level = 'child'"))
+    return r.select("asked", "wanted", (F.col("recall") >= 0.9).alias("enough"))
+
+
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return near_duplicates.found(table(spark, root, "chunks"))
 
@@ -160,6 +166,11 @@ def oracle_sql() -> dict[str, str]:
                  s AS (SELECT a.chunk_id AS a, b.chunk_id AS b, list_cosine_similarity(a.e, b.e) AS c FROM v a, v b WHERE a.chunk_id <> b.chunk_id),
                  r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS n FROM s WHERE c >= 0.85)
             SELECT DISTINCT least(a, b) AS chunk_id_a, greatest(a, b) AS chunk_id_b FROM r WHERE n <= 5""",
+        "p1_recall": """
+            WITH v AS (SELECT DISTINCT chunk_id FROM chunks WHERE chunk_level = 'child' AND embedding IS NOT NULL AND len(embedding) = 64
+                         AND len(list_filter(embedding, lambda x: isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+                 a AS (SELECT * FROM v WHERE CAST('0x' || substr(md5(chunk_id), 1, 6) AS INTEGER) % 50 = 0)
+            SELECT count(*) AS asked, CAST(count(*) * least(5, (SELECT count(*) FROM v) - 1) AS BIGINT) AS wanted, true AS enough FROM a""",
         "p2_found": r"""
             WITH w AS (SELECT DISTINCT chunk_id, list_distinct(regexp_extract_all(lower(chunk_text), '[\p{L}\p{N}]+', 0)) AS w FROM chunks WHERE chunk_level = 'child'),
                  v AS (SELECT chunk_id, w, len(w) AS n FROM w WHERE len(w) >= 20)

@@ -37,6 +37,7 @@ class CrossPolytope:
     occupancy: int = 512
     tile: int = 4096
     slack: float = 0.02
+    least_cells: int = 2
     sample: int = 20000
 
     @property
@@ -48,7 +49,7 @@ class CrossPolytope:
 
         Narrower buckets find less, so above ten million vectors two tables are added for each tenfold.
         """
-        per, need, full = 2 * self.width, max(2.0, n / self.occupancy), 0
+        per, need, full = 2 * self.width, max(2.0, min(self.least_cells, 2 * self.width), n / self.occupancy), 0
         while need > per:
             need, full = need / per, full + 1
         last = 1 << int(np.ceil(np.log2(max(2.0, need))))
@@ -56,6 +57,11 @@ class CrossPolytope:
         return CrossPolytope(**(self.__dict__ | {"rotations": full + 1, "cells": min(last, per), "tables": self.tables + more}))
 
 
+#: For neighbours without a floor: those of unstructured vectors are hardly nearer than others, so buckets are wider and tables more.
+WITHOUT_FLOOR = CrossPolytope(tables=24, probes=1, occupancy=4096, least_cells=128)
+_ENTRY = np.dtype([("b1", "<i8"), ("b2", "<i8"), ("near", "<f4")])
+
+
 def fast_hadamard(x: np.ndarray) -> np.ndarray:
     """Walsh-Hadamard transform along the last axis (a power of two), of norm 1."""
     n, h = x.shape[-1], 1
@@ -149,13 +155,16 @@ def _unit(df: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame:
     return df.select(F.col(id_col).cast("string").alias("id"), F.col(vec_col).cast("array<float>").alias("v")).where("id is not null and v is not null").mapInArrow(run, "id string, k1 bigint, k2 bigint, vec binary")
 
 
-def nearest(df: DataFrame, id_col: str = "chunk_id", vec_col: str = "embedding", k: int = 5, floor: float | None = 0.85, params: CrossPolytope = CrossPolytope()) -> DataFrame:
+def nearest(df: DataFrame, id_col: str = "chunk_id", vec_col: str = "embedding", k: int = 5, floor: float | None = 0.85, params: CrossPolytope | None = None, exact_for: F.Column | None = None) -> DataFrame:
     """The ``k`` most similar rows of every row: ``(id, rank, neighbour, cosine)``.
 
     Neighbours under ``floor`` are not given; the index is built to find at
     least 0.9 of those above it (measured in the tests and the README). Without
-    a floor the nearest of all that the probes collect are given, and a row for
-    which they are fewer than ``k`` is compared with every vector. Vectors
+    a floor every row has its ``k``: the nearest of all that wider buckets of
+    more tables collect, and a row for which they are fewer than ``k`` is
+    compared with every vector. With ``exact_for`` (a condition on ``id``, for
+    a stated set of rows) only those rows ask, and each is compared with every
+    vector, in tiles; :func:`recall` measures the index by that. Vectors
     that are null, of another length than ``params.dim``, all zero or hold NaN,
     infinity or null have no rows. Equal similarity: the smaller id first. A
     row counts once per id; of rows of one id with different vectors each
@@ -168,10 +177,10 @@ def nearest(df: DataFrame, id_col: str = "chunk_id", vec_col: str = "embedding",
     """
     src = df.select(F.col(id_col).cast("string").alias("id"), F.col(vec_col).alias("v"))
     n = src.select("id").where("id is not null").count()
-    p = params.fitted(n)
+    p = (params or (WITHOUT_FLOOR if floor is None else CrossPolytope())).fitted(n)
     rot = rotations(p)
     base = _unit(src, "id", "v", p.dim)
-    hot = _hot_buckets(src, n, p, rot)
+    hot = np.zeros((0, 2), np.int64) if exact_for is not None else _hot_buckets(src, n, p, rot)
 
     group = base.groupBy("k1", "k2").agg(F.first("vec").alias("vec"), F.min("id").alias("least"), F.max("id").alias("most"))
 
@@ -198,7 +207,7 @@ def nearest(df: DataFrame, id_col: str = "chunk_id", vec_col: str = "embedding",
                 yield pa.RecordBatch.from_arrays([pa.array(key[rows]), pa.array(tile.astype(np.int32)), pa.array(k1[rows]), pa.array(k2[rows]), pa.array(stored), _binary(q[rows])], ["bucket", "tile", "k1", "k2", "stored", "q"])
 
     best = k + 4
-    out_schema = "a1 bigint, a2 bigint, b1 bigint, b2 bigint, near float"
+    out_schema = "a1 bigint, a2 bigint, b1 bigint, b2 bigint" if floor is not None else "a1 bigint, a2 bigint, top binary"
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts in whole_groups(batches, ["bucket", "tile"]):
@@ -210,11 +219,13 @@ def nearest(df: DataFrame, id_col: str = "chunk_id", vec_col: str = "embedding",
                 at = s + np.flatnonzero(stored[s:e])
                 if e - s < 2 or not len(at):
                     continue
-                for lo, part in ((lo, at[c : c + p.tile]) for c in range(0, len(at), p.tile) for lo in range(s, e, 2048)):
+                for lo, part in ((lo, at[c : c + p.tile]) for lo in range(s, e, 2048) for c in range(0, len(at), p.tile)):
                     sim = q[lo : min(e, lo + 2048)] @ q[part].T
                     if floor is None:
-                        top = np.argpartition(-sim, min(best, len(part) - 1), axis=1)[:, : best + 1]
-                        i, j = np.repeat(np.arange(len(sim)), top.shape[1]), top.ravel()
+                        # what isn't among the best of some columns isn't among the best of all
+                        some = sim[:, :512]
+                        least = np.partition(some, -best - 1, axis=1)[:, -best - 1] if some.shape[1] > best else np.full(len(sim), -2.0)
+                        i, j = np.nonzero(sim >= least[:, None])
                     else:
                         i, j = np.nonzero(sim >= floor - p.slack)
                     if not len(i):
@@ -231,14 +242,21 @@ def nearest(df: DataFrame, id_col: str = "chunk_id", vec_col: str = "embedding",
                     found.append((i, j, v))
             if found:
                 i, j, v = (np.concatenate(x) for x in zip(*found))
-                yield pa.RecordBatch.from_arrays([pa.array(k1[i]), pa.array(k2[i]), pa.array(k1[j]), pa.array(k2[j]), pa.array(v.astype(np.float32))], ["a1", "a2", "b1", "b2", "near"])
+                if floor is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k1[i], k2[i], k1[j], k2[j])], ["a1", "a2", "b1", "b2"])
+                elif len(i):
+                    o = np.lexsort((-v, i))
+                    i, j, v = i[o], j[o], v[o]
+                    entry = np.empty(len(i), _ENTRY)
+                    entry["b1"], entry["b2"], entry["near"] = k1[j], k2[j], v
+                    first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+                    yield pa.RecordBatch.from_arrays([pa.array(k1[i[first]]), pa.array(k2[i[first]]), _packed(entry, first)], ["a1", "a2", "top"])
 
     def candidates(asked: DataFrame) -> DataFrame:
         cand = asked.repartition("bucket", "tile").sortWithinPartitions("bucket", "tile").mapInArrow(compare, out_schema)
         if floor is not None:
-            return cand.select("a1", "a2", "b1", "b2").distinct()  # at most tables * probes * best for an asking vector
-        top = F.slice(F.array_sort(F.collect_set(F.struct((-F.col("near")).alias("m"), "b1", "b2"))), 1, best)
-        return cand.groupBy("a1", "a2").agg(top.alias("top")).select("a1", "a2", F.explode("top").alias("b")).select("a1", "a2", "b.b1", "b.b2").distinct()
+            return cand.distinct()  # at most tables * probes * best for an asking vector
+        return cand.groupBy("a1", "a2").agg(F.collect_list("top").alias("tops")).mapInArrow(lambda b: _merged(b, k + 2), "a1 bigint, a2 bigint, b1 bigint, b2 bigint")
 
     asked = group.select("k1", "k2", "vec").mapInArrow(spread, "bucket bigint, tile int, k1 bigint, k2 bigint, stored boolean, q binary")
     vec = lambda s: group.select(F.col("k1").alias(s + "1"), F.col("k2").alias(s + "2"), F.col("vec").alias(s + "v"))
@@ -253,7 +271,11 @@ def nearest(df: DataFrame, id_col: str = "chunk_id", vec_col: str = "embedding",
     def rank(asked: DataFrame) -> DataFrame:
         return candidates(asked).join(vec("a"), ["a1", "a2"]).join(vec("b"), ["b1", "b2"]).select("a1", "a2", "b1", "b2", "av", "bv").mapInArrow(exact, "a1 bigint, a2 bigint, b1 bigint, b2 bigint, cos double")
 
-    ranked = rank(asked)
+    if exact_for is None:
+        ranked = rank(asked)
+    else:
+        these = base.where(exact_for).select("k1", "k2").distinct()
+        ranked = rank(_everywhere(group.select("k1", "k2", "vec"), group.join(these, ["k1", "k2"], "left_semi").select("k1", "k2", "vec"), n, p))
 
     # the k + 1 least ids of a vector that several ids have; salted, so no group is gathered at once
     shared = group.where("least <> most").select("k1", "k2")
@@ -263,7 +285,7 @@ def nearest(df: DataFrame, id_col: str = "chunk_id", vec_col: str = "embedding",
     some = some.groupBy("k1", "k2").agg(few(F.flatten(F.collect_list("ids"))).alias("ids"))
     ids = group.select("k1", "k2", "least").join(some, ["k1", "k2"], "left").select("k1", "k2", F.coalesce("ids", F.array("least")).alias("ids"))
 
-    if floor is None:
+    if floor is None and exact_for is None:
         ranked = cut_lineage(ranked)
         known = ranked.select(F.col("a1").alias("k1"), F.col("a2").alias("k2")).unionByName(some.select("k1", "k2", F.explode(F.slice("ids", 2, k))).drop("col")).groupBy("k1", "k2").agg(F.count("*").alias("known"))
         short = cut_lineage(group.select("k1", "k2", "vec").join(known, ["k1", "k2"], "left").where(F.coalesce("known", F.lit(0)) < k).select("k1", "k2", "vec"))
@@ -276,9 +298,46 @@ def nearest(df: DataFrame, id_col: str = "chunk_id", vec_col: str = "embedding",
     lone = group.where("least = most").select("k1", "k2", F.col("least").alias("id"))
     who = lone.unionByName(member.select("k1", "k2", "id").distinct())
     per = who.join(tops, ["k1", "k2"]).select("id", F.slice(F.filter("tops", lambda x: x["nb"] != F.col("id")), 1, k).alias("tops"))
+    per = per if exact_for is None else per.where(exact_for)
     return per.select("id", F.posexplode("tops").alias("rank", "t")).select("id", (F.col("rank") + 1).alias("rank"), F.col("t.nb").alias("neighbour"), (-F.col("t.m")).alias("cosine"))
 
 
+def _packed(entries: np.ndarray, first: np.ndarray) -> pa.Array:
+    """Runs of entries that start at ``first``, each as one binary value."""
+    ends = np.r_[first, len(entries)].astype(np.int32) * np.int32(entries.dtype.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(entries).view(np.uint8))])
+
+
+def _merged(batches: Iterator[pa.RecordBatch], best: int) -> Iterator[pa.RecordBatch]:
+    """(a1, a2, b1, b2): of rows (a1, a2, tops) of packed entries the ``best`` nearest, each vector once."""
+    for b in batches:
+        col = b.column(2)
+        flat = col.flatten()
+        ends = np.frombuffer(flat.buffers()[1], np.int32)[flat.offset : flat.offset + len(flat) + 1] if len(flat) else np.zeros(1, np.int32)
+        entry = np.frombuffer(flat.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(_ENTRY) if len(flat) else np.empty(0, _ENTRY)
+        row = np.repeat(np.repeat(np.arange(len(b)), col.value_lengths().to_numpy()), np.diff(ends) // _ENTRY.itemsize)
+        o = np.lexsort((entry["b2"], entry["b1"], row))
+        row, entry = row[o], entry[o]
+        once = np.r_[np.ones(min(1, len(row)), bool), (row[1:] != row[:-1]) | (entry["b1"][1:] != entry["b1"][:-1]) | (entry["b2"][1:] != entry["b2"][:-1])]
+        row, entry = row[once], entry[once]
+        o = np.lexsort((-entry["near"], row))
+        row, entry = row[o], entry[o]
+        first = np.r_[np.ones(min(1, len(row)), bool), row[1:] != row[:-1]]
+        keep = np.arange(len(row)) - np.maximum.accumulate(np.where(first, np.arange(len(row)), 0)) < best
+        row, entry = row[keep], entry[keep]
+        a = b.select([0, 1]).take(pa.array(row))
+        yield pa.RecordBatch.from_arrays([a.column(0), a.column(1), pa.array(entry["b1"].copy()), pa.array(entry["b2"].copy())], ["a1", "a2", "b1", "b2"])
+
+
+def recall(df: DataFrame, id_col: str = "chunk_id", vec_col: str = "embedding", k: int = 5, every: int = 50, **how: object) -> DataFrame:
+    """One row (asked, wanted, found, recall): what :func:`nearest` finds of the true ``k`` nearest of a stated set of rows, those whose md5 names one of ``every`` parts."""
+    mine = F.pmod(F.conv(F.substring(F.md5("id"), 1, 6), 16, 10).cast("int"), F.lit(every)) == 0
+    true = nearest(df, id_col, vec_col, k, None, exact_for=mine).select("id", "neighbour")
+    got = nearest(df, id_col, vec_col, k, None, **how).where(mine).select("id", "neighbour", F.lit(1).alias("hit"))
+    out = true.join(got, ["id", "neighbour"], "left").agg(F.countDistinct("id").alias("asked"), F.count("*").alias("wanted"), F.count("hit").alias("found"))
+    return out.withColumn("recall", F.col("found") / F.col("wanted"))
+
+
 def _everywhere(stored: DataFrame, asking: DataFrame, n: int, p: CrossPolytope) -> DataFrame:
     """Rows for the comparison in one bucket of all: each of ``stored`` in one tile, each of ``asking`` in every."""
     tiles = -(-n // p.tile)
@@ -295,11 +354,13 @@ def _everywhere(stored: DataFrame, asking: DataFrame, n: int, p: CrossPolytope)
 
 
 def _hot_buckets(src: DataFrame, n: int, p: CrossPolytope, rot: np.ndarray) -> np.ndarray:
-    """(bucket, tiles) sorted by bucket: those that by a sample of about ``p.sample`` ids hold more than a tile, and the tiles each needs.
+    """(bucket, tiles) sorted by bucket: those that by a sample of ids hold more than a tile, and the tiles each needs.
 
-    A bucket needs 40 rows of the sample to be named, so there are at most 500 a table.
+    A bucket needs 40 rows of the sample to be named. The sample has at least
+    ``p.sample`` ids and one of 1,638, so a bucket of more than 16 tiles is
+    always named, and at most one for every 65,536 rows and table is.
     """
-    every = max(1, n // p.sample)
+    every = max(1, min(n // p.sample, 16 * p.tile // 40))
     if n <= p.tile:
         return np.zeros((0, 2), np.int64)
 
