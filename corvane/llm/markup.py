@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.functions.dom import KNOWN, Node, parse
+from corvane.functions.dom import BLOCK, KNOWN, VOID, Node, attributes, parse
 
 _FENCE = re.compile(r"^[ \t]{0,3}(?P<f>`{3,}|~{3,})[^\n]*(?:\n|\Z)(?:.*?^[ \t]{0,3}(?P=f)[`~]*[ \t]*$|.*\Z)", re.M | re.S)
 _INLINE = re.compile(r"(?<!`)(`{1,2})(?!`)[^\n]*?[^`\n]\1(?!`)")
@@ -118,7 +118,46 @@ def table_text(rows: list[list[str]]) -> str:
     return "\n".join([line(rows[0]), "|" + "|".join("-" * (s + 2) for s in size) + "|", *map(line, rows[1:])])
 
 
-def _foreign(text: str, wiki_and_latex: bool = True) -> tuple[str, set[str]]:
+def _pairs(text: str) -> list[tuple[int, int, int, int, str]]:
+    """(start, inner start, inner end, end, name) of the HTML elements of a text that have both tags, by start; tags without a partner are left out."""
+    open_: list[tuple[str, int, int]] = []
+    out = []
+    for m in _TAG.finditer(text):
+        name = m[2].lower()
+        if name not in KNOWN or name in VOID or m[3].endswith("/"):
+            continue
+        if not m[1]:
+            open_.append((name, m.start(), m.end()))
+            continue
+        at = next((i for i in range(len(open_) - 1, max(-1, len(open_) - 65), -1) if open_[i][0] == name), None)
+        if at is not None:
+            out.append((open_[at][1], open_[at][2], m.start(), m.end(), name))
+            del open_[at:]
+    return sorted(out)
+
+
+def _elements(text: str, kinds: set[str]) -> str:
+    """A text whose HTML elements went through the tree; one that spans paragraphs of Markdown only loses its own tags, unless it isn't visible."""
+    out, pos = [], 0
+    for start, inner, inner_end, end, name in _pairs(text):
+        if start < pos:
+            continue
+        node = Node(name, attributes(text[start + 1 + len(name) : inner - 1].rstrip("/")))
+        if _visible(node) and name != "table" and "\n\n" in text[inner:inner_end]:
+            continue
+        whole = text[start:end]
+        kinds.add("html")
+        kinds.update(k for k, p in (("comment", _COMMENT), ("entity", _ENTITY)) if p.search(whole))
+        out.append(text[pos:start])
+        if _visible(node):
+            tree = _shallow(parse(whole))
+            block = any(x.tag in BLOCK for x in tree.walk() if x is not tree)
+            out.append("\n\n" + _laid_out(tree) + "\n\n" if block else "".join(_inline(c) for c in tree.children))
+        pos = end
+    return "".join((*out, text[pos:]))
+
+
+def _foreign(text: str, in_markdown: bool = True) -> tuple[str, set[str]]:
     """A text without code with its HTML, wiki and LaTeX markup turned into Markdown, and the kinds found."""
     kinds: set[str] = set()
 
@@ -130,6 +169,7 @@ def _foreign(text: str, wiki_and_latex: bool = True) -> tuple[str, set[str]]:
         return pattern.sub(one, s)
 
     if "<" in text:
+        text = _elements(text, kinds) if in_markdown and "</" in text else text
         text = change("comment", _COMMENT, lambda m: "", text)
 
         def tag(m: re.Match[str]) -> str:
@@ -155,13 +195,12 @@ def _foreign(text: str, wiki_and_latex: bool = True) -> tuple[str, set[str]]:
         once = _ENTITY.sub(entity, text)
         if once != text:  # what was escaped twice
             text = _TAG.sub(lambda m: "" if m[2].lower() in KNOWN else m[0], _ENTITY.sub(entity, once))
-    if wiki_and_latex:
-        if any(c in text for c in ("''", "[[", "{{", "{|", "|}", "==", "__", "~~~~")):
-            for kind, pattern, to in _WIKI:
-                text = change(kind, pattern, to, text)
-        if "\\" in text:
-            for kind, pattern, to in _LATEX:
-                text = change(kind, pattern, to, text)
+    if any(c in text for c in ("''", "[[", "{{", "{|", "|}", "==", "__", "~~~~")):
+        for kind, pattern, to in _WIKI:
+            text = change(kind, pattern, to, text)
+    if "\\" in text:
+        for kind, pattern, to in _LATEX:
+            text = change(kind, pattern, to, text)
     return text, kinds
 
 
@@ -191,18 +230,18 @@ def _visible(n: Node) -> bool:
     return not (style and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", style, re.I))
 
 
-def residue_in_html(fragment: str) -> tuple[str, list[str]]:
-    """Visible text of an HTML fragment, and the kinds of markup that its text still has outside code elements."""
+def clean_html(fragment: str) -> tuple[str, list[str]]:
+    """HTML as text, from one tree, and the kinds of markup that its text still has outside code elements once tags and entities are gone."""
     root = parse(fragment)
     plain: list[str] = []
     _plain(root, plain)
     left = "".join(plain)
-    _, kinds = _foreign(left)
+    _, kinds = _foreign(left, in_markdown=False)
     if "$" in left and _FORMULA.search(left):
         kinds.add("latex")
     if _MARKDOWN.search(left):
         kinds.add("markdown")
-    return left, sorted(kinds)
+    return _laid_out(_shallow(root)), sorted(kinds)
 
 
 _CODE = frozenset(("code", "pre", "kbd", "samp", "tt", "xmp", "script", "style"))
@@ -210,8 +249,6 @@ _CODE = frozenset(("code", "pre", "kbd", "samp", "tt", "xmp", "script", "style")
 
 def _plain(n: Node, out: list[str]) -> None:
     """Text outside code elements; a block begins a line."""
-    from corvane.functions.dom import BLOCK
-
     stack: list[Node | str] = [n]
     while stack:
         x = stack.pop()
@@ -226,9 +263,33 @@ def _plain(n: Node, out: list[str]) -> None:
             stack += reversed(x.children)
 
 
+#: Nesting that is laid out; what is nested deeper stands at this level, with all its text and blocks.
+DEPTH = 100
+
+
+def _shallow(root: Node) -> Node:
+    """The tree without what isn't visible and without nesting below ``DEPTH``: deeper elements become siblings of their ancestors."""
+    top = Node(root.tag, root.attrs)
+    stack: list[tuple[Node | str, Node, int]] = [(c, top, 1) for c in reversed(root.children)]
+    while stack:
+        x, parent, depth = stack.pop()
+        if isinstance(x, str):
+            parent.children.append(x)
+        elif _visible(x):
+            copy = Node(x.tag, x.attrs, parent)
+            parent.children.append(copy)
+            into = copy if depth < DEPTH else parent
+            stack += [(c, into, depth + (into is copy)) for c in reversed(x.children)]
+    return top
+
+
+def _laid_out(tree: Node) -> str:
+    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n", "\n", "".join(_block(tree, 0)))).strip()
+
+
 def render(fragment: str) -> str:
     """HTML as text: everything visible, blocks a blank line apart, structure as in Markdown."""
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n", "\n", "".join(_block(parse(fragment), 0)))).strip()
+    return _laid_out(_shallow(parse(fragment)))
 
 
 def _inline(n: Node | str) -> str:
@@ -261,8 +322,6 @@ def _wrapped(children: list[Node | str]) -> Node:
 
 def _items(n: Node, tags: tuple[str, ...]) -> Iterator[Node]:
     """The visible items of a list; what stands between them (text, other elements) is an item of its own."""
-    from corvane.functions.dom import BLOCK
-
     run: list[Node | str] = []
     for c in [*n.children, None]:
         if isinstance(c, str) or (c is not None and c.tag not in BLOCK):
@@ -302,11 +361,6 @@ def _table_parts(n: Node) -> tuple[list[Node], list[list[Node]], Node]:
 
 def _block(n: Node, depth: int) -> Iterator[str]:
     """The parts of a block element; runs of inline children become one paragraph."""
-    from corvane.functions.dom import BLOCK
-
-    if depth > 200:  # deeper trees are given flat
-        yield n.text()
-        return
     run: list[str] = []
 
     def flush() -> Iterator[str]:
@@ -367,31 +421,22 @@ def items(documents: DataFrame, chunks: DataFrame, pages: bool = False) -> DataF
     return docs.unionByName(parts).where("text is not null and item_key is not null")
 
 
-def cleaned(fields: DataFrame, keep_text: bool = True) -> DataFrame:
-    """(field, item_key, residue, text): clean text of items (field, item_key, text) and the kinds of markup left in them.
+def cleaned(fields: DataFrame) -> DataFrame:
+    """(field, item_key, residue, text): clean text of items (field, item_key, text) and the kinds of markup the renderer met in them.
 
     ``markdown`` is taken as Markdown, other fields as HTML. Null texts have no
-    row, empty ones an empty text. With ``keep_text`` off only the report is
-    given. Whole texts are read; what can't be parsed stays as text.
+    row, empty ones an empty text. Whole texts are read; what can't be parsed
+    stays as text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kinds, texts = [], []
-            for field, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
-                if field == "markdown":
-                    t, k = clean_markdown(text)
-                else:
-                    k = residue_in_html(text)[1]
-                    t = render(text) if keep_text else ""
-                kinds.append(k)
-                texts.append(t)
-            cols = [b.column(0), b.column(1), pa.array(kinds, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(cols + ([pa.array(texts, pa.string())] if keep_text else []), ["field", "item_key", "residue", "text"][: 3 + keep_text])
+            got = [clean_markdown(text) if field == "markdown" else clean_html(text) for field, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([k for _, k in got], pa.list_(pa.string())), pa.array([t for t, _ in got], pa.string())], ["field", "item_key", "residue", "text"])
 
-    return fields.select("field", "item_key", "text").mapInArrow(run, "field string, item_key string, residue array<string>" + (", text string" if keep_text else ""))
+    return fields.select("field", "item_key", "text").mapInArrow(run, "field string, item_key string, residue array<string>, text string")
 
 
 def found(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     """p4_found: items in which the renderer met markup of another kind than their own."""
-    return cleaned(items(documents, chunks), keep_text=False).where(F.size("residue") > 0).select("field", "item_key").distinct()
+    return cleaned(items(documents, chunks)).where(F.size("residue") > 0).select("field", "item_key").distinct()

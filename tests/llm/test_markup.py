@@ -1,4 +1,6 @@
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from corvane.llm import markup as m
 
@@ -26,7 +28,7 @@ def test_markdown_is_turned_into_clean_markdown():
 
 @pytest.mark.parametrize("html, kinds", [("<p>a</p>", []), ("<p>&lt;b&gt;x&lt;/b&gt;</p>", ["html"]), ("<pre><code>&lt;b&gt; **x**</code></pre>", []), ("<p>&amp;nbsp;x</p>", ["entity"]), ("<div>**x** y</div>", ["markdown"]), ("<p>'''x''' y</p>", ["wiki"]), ("<p>\\begin{center}x\\end{center}</p>", ["latex"]), ("<math alttext='\\frac{a}{b}'><mi>a</mi></math>", [])])
 def test_residue_in_html(html, kinds):
-    assert m.residue_in_html(html)[1] == kinds
+    assert m.clean_html(html)[1] == kinds
 
 
 def test_rendering_keeps_structure():
@@ -65,3 +67,31 @@ def test_no_visible_word_of_broken_pages_is_lost(html):
 def test_long_inline_formulas_are_set_aside():
     text = "So $" + " + ".join(f"\\frac{{a_{i}}}{{b}}" for i in range(60)) + "$ holds."
     assert m.clean_markdown(text) == (text, []) and m.without_code(text)[0] == "So   holds."
+
+
+def test_html_in_markdown_goes_through_the_tree():
+    got, kinds = m.clean_markdown('Before.\n\n<div style="display:none">secret</div> <script>x()</script>\n\n<table><tr><th>K</th><th>Value</th></tr><tr><td>x</td><td>yy</td></tr></table>\n\nAfter.')
+    assert kinds == ["html"] and "secret" not in got and "x()" not in got
+    assert "| K   | Value |\n|-----|-------|\n| x   | yy    |" in got and got.startswith("Before.") and got.endswith("After.")
+    got, _ = m.clean_markdown("<div>\n\nOne **two**.\n\n- <b>three</b>\n\n</div>\n\n<ul><li>four</li><li>five</li></ul>")
+    assert "One **two**." in got and "- **three**" in got and "- four\n- five" in got and "<" not in got
+
+
+@pytest.mark.parametrize("tag, n", [("span", 1500), ("b", 1200), ("div", 5000), ("ul", 2000), ("table", 500), ("blockquote", 1500), ("mrow", 1500)])
+def test_deep_nesting_keeps_text_and_visibility(tag, n):
+    html = f"<{tag}>" * n + "deep<i hidden>secret</i><p>end</p>" + f"</{tag}>" * n
+    for got in (m.render(html), m.clean_html(html)[0], m.clean_markdown(html)[0]):
+        assert "deep" in got and "end" in got and "secret" not in got
+
+
+def test_nested_tables_come_once():
+    got = m.render("<table><tr><td>a<table><tr><td>inner</td></tr></table></td><td>b</td></tr></table>")
+    assert got.count("inner") == 1 and got.count("a") >= 1
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list("<>/abpdivtrliul &;\"'=\n*_[]{}|\\$`")), max_size=120))
+def test_never_fails(text):
+    for f in (m.clean_html, m.clean_markdown):
+        out, kinds = f(text)
+        assert isinstance(out, str) and kinds == sorted(set(kinds))
