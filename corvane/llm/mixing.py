@@ -131,7 +131,7 @@ def draw(records: DataFrame, targets: DataFrame, total: int | None = None, entro
     shares = {r.source: float(r.target_share or 0) for r in rows}
     repeats = {r.source: int(r.max_repeats) if r.max_repeats is not None else 1 for r in rows}
     good = records.where("id is not null and source is not null and tokens > 0")
-    held = {r.source: int(r.n) for r in good.where(F.col("source").isin(list(shares))).groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
+    held = {r.source: int(r.n) for r in good.join(F.broadcast(targets.select("source").distinct()), "source", "left_semi").groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
     if entropy_of_targets:
         own = {s: n / sum(held.values()) for s, n in held.items()}
         goal = entropy(tempered({s: shares[s] for s in own}, 1.0))

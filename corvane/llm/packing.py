@@ -91,7 +91,7 @@ def pack(items: DataFrame, capacities: dict[str, int], rows: int, id_col: str =
                         out.append((k, f"{s}-{b.put(rest)}", i, whole, rest))
             yield pd.DataFrame(out, columns=["container_kind", "container_id", "id", "piece_no", "tokens"])
 
-    dealt = d.repartition("shard").sortWithinPartitions("shard", "turn", "id", "tokens")
+    dealt = d.repartition(min(shards, 20000), "shard").sortWithinPartitions("shard", "turn", "id", "tokens")
     return dealt.mapInPandas(run, f"container_kind string, container_id string, id {kind}, piece_no int, tokens bigint")
 
 

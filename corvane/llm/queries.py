@@ -108,6 +108,11 @@ def p9_even_as_targets(spark: SparkSession, root: str) -> DataFrame:
     return _mix(spark, root, entropy_of_targets=True)[1]
 
 
+def p9_tempered_selection(spark: SparkSession, root: str) -> DataFrame:
+    """The records drawn at the sources' own shares, tempered to the entropy of the targets."""
+    return _mix(spark, root, entropy_of_targets=True)[0].withColumnRenamed("id", "doc_id")
+
+
 def p9_fixed_total(spark: SparkSession, root: str) -> DataFrame:
     """Shares for two million tokens, where the repeat limits bend the weights at the smaller scales."""
     return _mix(spark, root, total=2_000_000)[1]
@@ -136,15 +141,41 @@ _LANGUAGE = "regexp_extract(lower(trim(coalesce(language, ''))), '^([^-_]*)', 1)
 
 
 def _look_sql(text: str) -> str:
-    """The consistent form in SQL: every character by itself, then composition; from the transducer's own table."""
-    forms = {c: f for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x10000))) if (f := same_look.one_form(c)) != c}
-    one, none = [c for c, f in forms.items() if len(f) == 1], [c for c, f in forms.items() if not f]
+    """What looks the same, in SQL: every character by itself, then composition. Stated here anew, from Unicode's properties, apart from the operator's table."""
+    import unicodedata as u
+
+    #: Letters and signs that are drawn alike.
+    given = "АВЕКМНОРСТУХЅІЈаеорсухѕіјԁԛԝһӏ" + "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϳ" + "ՕՍօսհոց" + "\u2010\u2011\u2236\u0374\u02bc\u037e\u2024"
+    drawn = "ABEKMHOPCTYXSIJaeopcyxsijdqwhl" + "ABEZHIKMNOPTYXoj" + "OUouhng" + "--:\u02b9\u2019;."
+    one, none, more = dict(zip(given, drawn)), ["\u034f", "\u115f", "\u1160", "\u17b4", "\u17b5"], {}
+    for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x10000))):
+        if u.category(c) == "Zs":
+            one[c] = " "
+        elif u.category(c) in ("Zl", "Zp"):
+            one[c] = "\n"
+        elif u.category(c) == "Cf" or "\ufe00" <= c <= "\ufe0f":
+            none.append(c)
+        elif u.decomposition(c).startswith(("<wide>", "<narrow>")) or "\ufb00" <= c <= "\ufb06":
+            form = {"\uff9e": "\u3099", "\uff9f": "\u309a"}.get(c) or u.normalize("NFKC", c)
+            if c not in none:
+                (one if len(form) == 1 else more)[c] = form
+    none = [c for c in none if c not in one]
     out = text
-    for c, f in forms.items():
-        if len(f) > 1 and c < "\uff00":
-            out = f"replace({out}, '{c}', '{f}')"
-    quoted = "".join(forms[c] for c in one).replace("'", "''")
-    return f"nfc_normalize(translate({out}, '{''.join(one + none)}', '{quoted}'))"
+    for c, form in more.items():
+        out = f"replace({out}, '{c}', '{form}')"
+    # composed letters whose base has a look-alike
+    composed = {}
+    for c in map(chr, (*range(0x370, 0x590), *range(0x1F00, 0x2000))):
+        apart = u.normalize("NFD", c)
+        if len(apart) > 1 and apart[0] in one:
+            composed[c] = u.normalize("NFC", one[apart[0]] + apart[1:])
+    for c, form in composed.items():
+        if len(form) > 1:
+            out = f"replace({out}, '{c}', '{form}')"
+        else:
+            one[c] = form
+    quoted = "".join(one.values()).replace("'", "''")
+    return f"nfc_normalize(translate({out}, '{''.join(one)}{''.join(none)}', '{quoted}'))"
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,8 +1,10 @@
 """Problem 10: one form for texts that look the same.
 
-A transducer over grapheme clusters: a base character with the marks after it
-is replaced by the longest entry of a table that was compiled once from rules
-and a short list of look-alikes and checked for conflicts.
+A longest-match transducer over grapheme clusters: a table of entries of one to
+three characters (width forms, spaces, characters that aren't drawn, composed
+accents, voiced kana, look-alike letters) is compiled once from rules and a
+short list and checked for conflicts. Look-alike letters take the script of
+their word: a word with letters of its own script stays in it.
 """
 
 from __future__ import annotations
@@ -47,18 +49,18 @@ def _mark_of(c: str) -> str | None:
 
 
 def compile_table() -> dict[str, str]:
-    """One entry for every character of the basic plane that changes, from the rules above.
+    """The entries of the transducer, of one to three characters, from the rules above.
 
-    The table is checked: no result is itself changed by the table, and no
-    result of a look-alike is a digit, another case or carries another mark.
+    The table is checked: no result is changed by the table again, a look-alike
+    keeps its case, and two entries that begin alike and end in marks agree.
     """
     t: dict[str, str] = {}
-    for n in (*range(0x80, 0xD800), *range(0xE000, 0x10000)):
+    for n in (*range(0x80, 0xD800), *range(0xE000, 0x20000), *range(0xE0000, 0xE0200)):
         c = chr(n)
         kind = unicodedata.category(c)
         if kind == "Zs" or kind in ("Zl", "Zp"):
             t[c] = " " if kind == "Zs" else "\n"
-        elif kind == "Cf" or c in UNDRAWN or "︀" <= c <= "️":
+        elif kind == "Cf" or c in UNDRAWN or "︀" <= c <= "️" or 0xE0100 <= n <= 0xE01EF:
             t[c] = ""
         elif m := _mark_of(c):
             t[c] = m
@@ -74,16 +76,28 @@ def compile_table() -> dict[str, str]:
             raise ValueError(f"conflict: {c!r} becomes {d!r}, which changes again")
         if c.isalpha() and len(d) == 1 and d.isalpha() and c.isupper() != d.isupper():
             raise ValueError(f"conflict: {c!r} and {d!r} differ in case")
-    return t
+    # entries of several characters: a base, as it is or as an entry gives it, with the marks it is composed with
+    several: dict[str, str] = {}
+    for n in (*range(0xA0, 0xAC00), *range(0xF900, 0x20000)):
+        apart = unicodedata.normalize("NFD", chr(n))
+        if 2 <= len(apart) <= 3 and unicodedata.combining(apart[1]):
+            one = unicodedata.normalize("NFC", "".join(t.get(x, x) for x in apart))
+            if several.setdefault(apart, one) != one:
+                raise ValueError(f"conflict: {apart!r}")
+    for kana in map(chr, range(0xFF66, 0xFF9E)):
+        for mark in "ﾞﾟ":
+            several[kana + mark] = unicodedata.normalize("NFC", t[kana] + t[mark])
+    return t | several
 
 
 @lru_cache(maxsize=1)
 def _transducer() -> tuple[dict[str, str], re.Pattern[str], re.Pattern[str]]:
     t = compile_table()
+    single = [c for c in t if len(c) == 1]
     marks = "".join(f"{chr(a)}-{chr(b)}" for a, b in _ranges(c for c in map(chr, range(0x300, 0x10000)) if unicodedata.combining(c) or unicodedata.category(c) == "Mn"))
-    undrawn = re.escape("".join(c for c, d in t.items() if d == ""))
+    undrawn = re.escape("".join(c for c in single if t[c] == ""))
     voiced = "ﾞﾟ"
-    changed = "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" if a != b else re.escape(chr(a)) for a, b in _ranges(iter(sorted(t))))
+    changed = "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" if a != b else re.escape(chr(a)) for a, b in _ranges(iter(sorted(single))))
     composed = "".join(f"{chr(a)}-{chr(b)}" for a, b in _ranges(c for c in map(chr, (*range(0xA0, 0xAC00), *range(0xF900, 0x10000))) if unicodedata.decomposition(c)[:1] not in ("", "<")))
     hangul = "[\uac00-\ud7a3][\u11a8-\u11ff]+|[\u1100-\u115e\u1161-\u11ff]+"
     cluster = re.compile(f"{hangul}|[^\\n][{undrawn}]*[{marks}{voiced}][{marks}{voiced}{undrawn}]*|[{changed}]|[{composed}]")
@@ -102,9 +116,42 @@ def _ranges(chars: Iterator[str]) -> list[tuple[int, int]]:
 
 @lru_cache(maxsize=1 << 16)
 def _cluster_form(s: str) -> str:
+    """A cluster by the longest entries that match, then in composed form."""
     t = _transducer()[0]
-    s = "".join(t.get(c, c) for c in unicodedata.normalize("NFD", "".join(t.get(c, c) for c in s)))
-    return unicodedata.normalize("NFC", s)
+    if s in t:
+        return t[s]
+    s = unicodedata.normalize("NFD", "".join(t.get(c, c) for c in s))
+    out, i = [], 0
+    while i < len(s):
+        n = next((n for n in (3, 2, 1) if s[i : i + n] in t), 0)
+        out.append(t[s[i : i + n]] if n else s[i])
+        i += n or 1
+    return unicodedata.normalize("NFC", "".join(out))
+
+
+#: Letters of other scripts that may share a word with their Latin look-alikes.
+_SCRIPTS = (("Ѐ-ԯ", LOOK_ALIKES[0]), ("Ͱ-Ͽἀ-῿", LOOK_ALIKES[1]), ("Ա-֏", LOOK_ALIKES[2]))
+_OTHER = re.compile("[" + "".join(r for r, _ in _SCRIPTS) + "]")
+_BACK = [(re.compile(f"[{r}]"), str.maketrans(drawn, given), frozenset(drawn)) for r, (given, drawn) in _SCRIPTS]
+_WORD = re.compile(r"[^\W\d_]+(?:[\u0300-\u036f]+[^\W\d_]*)*")
+
+
+@lru_cache(maxsize=1 << 16)
+def _in_its_script(word: str) -> str:
+    """A word whose look-alikes are Latin: in the script of its other letters, if those are all of one and the rest has look-alikes there."""
+    apart = unicodedata.normalize("NFD", word)
+    letters = [c for c in apart if c.isalpha()]
+    for script, back, drawn in _BACK:
+        own = sum(bool(script.match(c)) for c in letters)
+        if own and all(c in drawn for c in letters if not script.match(c)):
+            return unicodedata.normalize("NFC", apart.translate(back))
+    return word
+
+
+def _key(text: str) -> str:
+    """The form with every look-alike as a Latin letter."""
+    _, cluster, undrawn = _transducer()
+    return cluster.sub(lambda m: _cluster_form(m.group()), undrawn.sub("", text) if undrawn.search(text) else text)
 
 
 def one_form(text: str | None) -> str | None:
@@ -112,12 +159,14 @@ def one_form(text: str | None) -> str | None:
 
     Widths, kinds of space, characters that are not drawn, composed and
     decomposed accents and look-alike letters make no difference; accents,
-    case, raised digits and line breaks do.
+    case, raised digits and line breaks do. A word with letters that only one
+    script has is written in that script throughout; one of look-alikes alone
+    in Latin. Two texts have one form just if their letters look the same.
     """
     if text is None or text.isascii():
         return text
-    _, cluster, undrawn = _transducer()
-    return cluster.sub(lambda m: _cluster_form(m.group()), text) if not undrawn.search(text) else cluster.sub(lambda m: _cluster_form(m.group()), undrawn.sub("", text))
+    text = _key(text)
+    return _WORD.sub(lambda m: _in_its_script(m.group()) if _OTHER.search(m.group()) else m.group(), text) if _OTHER.search(text) else text
 
 
 def consistent(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -112,3 +112,18 @@ def test_members_tell_the_pairs_of_copies(spark):
     rows = [(i, ["Hello", "Ｈello", "Hellо"][i % 3]) for i in range(300)] + [(900, "alone"), (901, "alone")]
     got = {tuple(r) for r in sl.members(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == {(i, i % 3, 0) for i in range(300)}
+
+
+@pytest.mark.parametrize("text", ["Привет, как дела? Москва", "Ελληνικά και άλλα", "він їхав", "Ёжик в тумане", "plain Latin naïve"])
+def test_words_of_one_script_stay_in_it(text):
+    assert sl.one_form(text) == unicodedata.normalize("NFC", text)
+
+
+@pytest.mark.parametrize("a, b, form", [("Mocква", "Москва", "Москва"), ("рaуpа", "paypa", "paypa"), ("Ёлка", "Ëлкa", "Ёлка"), ("ﾊﾞｽ", "ﾊﾞｽ", "バス")])
+def test_look_alikes_take_the_script_of_their_word(a, b, form):
+    assert sl.one_form(a) == sl.one_form(b) == form == sl.one_form(form)
+
+
+def test_entries_of_several_characters():
+    t = sl.compile_table()
+    assert t["e\u0301"] == "é" and t["ﾊﾞ"] == "バ" and t["а\u0308"] == "ä" and max(map(len, t)) == 3
