@@ -6,7 +6,7 @@ import hashlib
 import math
 import re
 from bisect import bisect_right
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from typing import Protocol
 
 
@@ -123,3 +123,21 @@ class OverlapReranker:
     def rerank(self, query: str, passages: Sequence[str]) -> list[tuple[int, float, float | None]]:
         q = set(re.findall(r"\w+", query.lower()))
         return [(i, len(q & set(re.findall(r"\w+", p.lower()))) / max(1, len(q)), None) for i, p in enumerate(passages)]
+
+
+class RemoteReranker:
+    """A cross-encoder behind a function ``post(query, passages) -> [(index, score)]``, which does the request.
+
+    Some services take an instruction: it stands before the query, a full stop
+    between them. Indices outside the passages are an error, so that the
+    caller falls back to the order given.
+    """
+
+    def __init__(self, post: Callable[[str, list[str]], Sequence[tuple[int, float]]], instruction: str | None = None) -> None:
+        self.post, self.instruction = post, instruction
+
+    def rerank(self, query: str, passages: Sequence[str]) -> list[tuple[int, float, float | None]]:
+        got = self.post(f"{self.instruction}. {query}" if self.instruction else query, list(passages))
+        if any(not 0 <= i < len(passages) for i, _ in got):
+            raise ValueError("the service named a passage that wasn't sent")
+        return [(int(i), float(s), float(s)) for i, s in got]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import ascii_tokens, jaccard
+from corvane.sources.links import enrich, once
 
 #: The weights of the five signals.
 WEIGHTS = {"url_path": 0.15, "title": 0.40, "description": 0.30, "in_degree": 0.05, "depth": 0.10}
@@ -57,22 +58,41 @@ def best(scores: DataFrame, n: int, least: float) -> DataFrame:
     return out.withColumn("_top", F.max("score").over(Window.partitionBy("query_id"))).where(F.col("_top") >= least).drop("_top")
 
 
-def selected(candidates: DataFrame, seed: str, new_depth: int, query: str, concepts: list[str], ingested: list[str], to_score: int, n: int, least: float) -> list[str]:
+def first_candidates(links: DataFrame, documents: DataFrame, ingested: DataFrame, n: int, found: DataFrame | None = None) -> DataFrame:
+    """The first ``n`` links of the documents at some addresses: (place, id, target_url, title, description, depth).
+
+    ``ingested`` (url): what one run has taken in, a few hundred at most, so
+    it goes to the links. ``found``: a map of those documents' pages (as for
+    :func:`corvane.sources.links.enrich`), which gives titles and new links.
+    Addresses that are ingested themselves are left out; of one target the
+    first discovered stands (equal times: the smaller id).
+    """
+    url = F.broadcast(ingested.select(F.col("url")).where("url is not null").distinct())
+    own = documents.join(url.withColumnRenamed("url", "source_url"), "source_url", "left_semi")
+    few = links.join(F.broadcast(own.select(F.col("document_id").alias("source_document_id")).distinct()), "source_document_id", "left_semi")
+    few = once(few).select(*links.columns) if found is None else enrich(few, found, own).drop("touched")
+    few = few.join(url.withColumnRenamed("url", "target_url"), "target_url", "left_anti").where("target_url is not null")
+    one = few.groupBy("target_url").agg(F.min_by(F.struct("id", "title", "description", "depth", "discovered_at"), F.struct("discovered_at", "id")).alias("r")).select("target_url", "r.*")
+    place = Window.orderBy("discovered_at", "target_url")
+    return one.orderBy("discovered_at", "target_url").limit(n).select(F.row_number().over(place).alias("place"), "id", "target_url", "title", "description", "depth")
+
+
+def selected(links: DataFrame, documents: DataFrame, seed: str, new_depth: int, query: str, concepts: list[str], ingested: list[str], to_score: int, n: int, least: float, found: DataFrame | None = None) -> list[str]:
     """Targets to fetch next for one query, best first.
 
-    Links come in the order they were discovered; then the seed's parent
+    The links of the documents taken in so far come in the order they were
+    discovered, enriched by a map of their pages; then the seed's parent
     addresses; of one target the first; only the first ``to_score`` are scored.
     In-degree is taken after that, so it is that of one source.
     """
-    spark = candidates.sparkSession
+    spark = links.sparkSession
     done = spark.createDataFrame([(u,) for u in ingested], "url string")
-    order = Window.partitionBy("target_url").orderBy("discovered_at", "id")
-    one = candidates.join(done.select(F.col("url").alias("target_url")), "target_url", "left_anti").withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
-    first = one.orderBy("discovered_at", "target_url").limit(to_score).select("id", "target_url", "title", "description", "depth").collect()
-    rows = [tuple(r) for r in first]
+    rows = [tuple(r)[1:] for r in first_candidates(links, documents, done, to_score, found).orderBy("place").collect()]
     above = spark.range(1).select(parent_urls(F.lit(seed)).alias("p")).first()[0]
     known = {r[1] for r in rows} | set(ingested)
     rows += [(f"parent:{u}", u, None, None, new_depth) for u in above if u not in known]
+    if not rows:
+        return []
     held = spark.createDataFrame(rows[:to_score], "id string, target_url string, title string, description string, depth int")
     ask = spark.createDataFrame([(0, query, concepts)], "query_id int, query string, key_concepts array<string>")
     degree = held.select("target_url", F.lit(1).alias("in_degree"))

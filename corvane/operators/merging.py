@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import space_tokens
-from corvane.operators.retrieval import once
 
 
 def neighbours(hits: DataFrame, chunks: DataFrame, radius: int = 1, least: float = 0.3) -> DataFrame:
@@ -16,12 +15,13 @@ def neighbours(hits: DataFrame, chunks: DataFrame, radius: int = 1, least: float
     ``hits`` (query_id, chunk_id, document_id, chunk_index, score): those of at
     least ``least`` have neighbours up to ``radius`` places away in their
     document; hits themselves aren't neighbours. The places are listed and
-    joined by equality, not by a range.
+    joined by equality, not by a range; they are few (the hits of a batch of
+    queries times the radius), so they go to the parents.
     """
     near = hits.where(F.col("score") >= least).select("query_id", "document_id", F.explode(F.sequence(F.greatest(F.lit(0), F.col("chunk_index") - radius), F.col("chunk_index") + radius)).alias("chunk_index")).distinct()
-    parents = once(chunks.where("chunk_level = 'parent'"))
+    parents = chunks.where("chunk_level = 'parent'")
     html = F.coalesce(F.col("html_text"), F.lit("")) != ""
-    rows = near.join(parents, ["document_id", "chunk_index"]).join(hits.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+    rows = parents.join(F.broadcast(near), ["document_id", "chunk_index"]).dropDuplicates(["query_id", "chunk_id"]).join(hits.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
     return rows.select(
         "query_id", "chunk_id", "document_id", "chunk_index", F.lit(0.0).alias("score"), F.lit(True).alias("is_locality_expanded"),
         F.when(html, "html").otherwise("markdown").alias("surface"), F.when(html, F.col("html_text")).otherwise(F.col("chunk_text")).alias("selected_text"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import warnings
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -54,7 +54,8 @@ def rerank(rows: DataFrame, provider: Reranker | None, config: EngineConfig = En
         part = part.sort_values("position")
         try:
             got = provider.rerank(part["query"].iloc[0], part["passage"].tolist())
-        except Exception:  # a provider that fails must not fail the answer
+        except Exception as e:  # a provider that fails must not fail the answer
+            warnings.warn(f"the reranker failed, its place keeps the given order: {e!r}", stacklevel=1)
             got = [(i, s, None) for i, s in enumerate(part["score"])]
         return pd.DataFrame([(part["query_id"].iloc[i], part["chunk_id"].iloc[i], float(s), c) for i, s, c in got], columns=["query_id", "chunk_id", "reranked_score", "confidence"])
 

@@ -43,10 +43,14 @@ def child_search(chunks: DataFrame, queries: DataFrame, config: EngineConfig = E
 
 
 def parent_scores(hits: DataFrame, chunks: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
-    """(query_id, parent_id, score, raw_similarity): for each parent its best child, lowered by depth. Children without a parent count for nothing."""
-    child = once(chunks.where("chunk_level = 'child' and parent_id is not null").select("chunk_id", "parent_id", "depth"))
+    """(query_id, parent_id, score, raw_similarity): for each parent its best child, lowered by depth. Children without a parent count for nothing.
+
+    ``hits`` are at most ``max_queries`` times ``top_k_children`` ids, so they
+    go to the chunks and no chunk is shuffled; one delivered twice changes no maximum.
+    """
+    child = chunks.where("chunk_level = 'child' and parent_id is not null").select("chunk_id", "parent_id", "depth")
     score = F.col("similarity") * depth_multiplier(F.coalesce("depth", F.lit(0)), config.depth_decay_rate, config.depth_floor)
-    best = hits.join(child, "chunk_id").groupBy("query_id", "parent_id").agg(F.max(F.struct(score.alias("score"), F.col("similarity").alias("raw_similarity"))).alias("b"))
+    best = child.join(F.broadcast(hits), "chunk_id").groupBy("query_id", "parent_id").agg(F.max(F.struct(score.alias("score"), F.col("similarity").alias("raw_similarity"))).alias("b"))
     return best.select("query_id", "parent_id", "b.score", "b.raw_similarity")
 
 
@@ -93,10 +97,11 @@ def retrieve_chunks(chunks: DataFrame, queries: DataFrame, config: EngineConfig
     """
     c = scoped(chunks, sources)
     scores = parent_scores(child_search(c, queries, config), c, config)
-    parents = once(c.where("chunk_level = 'parent'"))
-    sized = scores.join(parents.select(F.col("chunk_id").alias("parent_id"), token_span().alias("tokens")), "parent_id")
+    parents = c.where("chunk_level = 'parent'")
+    # scores and what is kept of them are as few as the hits: they go to the parents, and repeats are dropped after that
+    sized = parents.select(F.col("chunk_id").alias("parent_id"), token_span().alias("tokens")).join(F.broadcast(scores), "parent_id").dropDuplicates(["query_id", "parent_id"])
     kept = within_budget(sized, config.budget(budget)).withColumnRenamed("parent_id", "chunk_id")
-    rows = kept.join(parents, "chunk_id").select("query_id", "rank", "score", "raw_similarity", "tokens", *surfaces(), *parents.columns)
+    rows = parents.join(F.broadcast(kept), "chunk_id").dropDuplicates(["query_id", "chunk_id"]).select("query_id", "rank", "score", "raw_similarity", "tokens", *surfaces(), *parents.columns)
     return by_source(rows)
 
 
@@ -132,4 +137,4 @@ def citation(start: Column, end: Column) -> Column:
 def summary(rows: DataFrame) -> DataFrame:
     """(query_id, is_empty, top_score, sources) of retrieved rows; sources in the order of their first chunk."""
     first = rows.groupBy("query_id", "source_url").agg(F.min("position").alias("p"), F.max("score").alias("s"))
-    return first.groupBy("query_id").agg(F.lit(False).alias("is_empty"), F.max("s").alias("top_score"), F.transform(F.array_sort(F.collect_list(F.struct("p", "source_url"))), lambda x: x["source_url"]).alias("sources"))
+    return first.groupBy("query_id").agg((F.count("*") == 0).alias("is_empty"), F.max("s").alias("top_score"), F.transform(F.array_sort(F.collect_list(F.struct("p", "source_url"))), lambda x: x["source_url"]).alias("sources"))

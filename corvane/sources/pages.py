@@ -109,3 +109,26 @@ def discover_links(page: str, links: DataFrame, exclude: DataFrame, limit: int =
     mine = links.where((F.col("source_url") == page) & F.col("target_url").isNotNull())
     one = mine.groupBy("target_url").agg(F.min(F.struct("discovered_at", "title", "description")).alias("r"))
     return one.join(exclude.select(F.col("url").alias("target_url")), "target_url", "left_anti").select(F.col("target_url").alias("url"), "r.title", "r.description").orderBy("url").limit(limit)
+
+
+def site_map(pages: DataFrame, links: DataFrame, at: Column, limit: int = 100) -> DataFrame:
+    """A map of documents' pages from a table of pages: (source_document_id, target_url, title, description, at), at most ``limit`` a document, by address."""
+    known = newest_fetch(pages).select(page_of().alias("target_url"), "title", "description").where("target_url is not null and (title is not null or description is not null)").dropDuplicates(["target_url"])
+    of = links.select("source_document_id", "target_url").distinct().join(known, "target_url")
+    order = Window.partitionBy("source_document_id").orderBy("target_url")
+    return of.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit).select("source_document_id", "target_url", "title", "description", at.alias("at"))
+
+
+def payload_items(payload: object, limit: int | None = None) -> list[object]:
+    """The items of a page source's answer: a list, a mapping or an object with ``data`` or ``links``; anything else is an error. Items that are null are left out."""
+    found = payload
+    for name in ("data", "links"):
+        if isinstance(payload, dict) and payload.get(name) is not None:
+            found = payload[name]
+            break
+        if not isinstance(payload, (dict, list, tuple, str, bytes)) and getattr(payload, name, None) is not None:
+            found = getattr(payload, name)
+            break
+    if not isinstance(found, (list, tuple)):
+        raise ValueError(f"a page source gave {type(payload).__name__}, which holds no items")
+    return [x for x in found if x is not None][:limit]

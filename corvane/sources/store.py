@@ -1,64 +1,98 @@
-"""The corpus store: documents, chunks and links as versions of Parquet tables.
-
-A write makes a new version of all tables and then moves a pointer, so readers
-see all of it or nothing. A document's id hangs on its URL and content, a
-chunk's on its document and place, so a write that is repeated changes nothing.
+"""The corpus store: documents, chunks and links in buckets of Parquet files.
+
+A table is cut into buckets by document. A write makes new files for the
+buckets it touches only, then a manifest that names the files of every bucket,
+and last a pointer with the next number; readers take the manifest of the
+largest number, so they see all of a write or nothing, and at no time nothing
+at all. A document's id hangs on its URL and content, a chunk's on its document
+and place, so a write that is repeated changes nothing.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane import schemas
 from corvane.functions.urls import page_of
 
-_POINTER = "CURRENT"
+BUCKETS = 64
 
 
 class Store:
-    """Versions under one folder that driver and executors share (any file system Spark can write)."""
+    """Tables under one folder that driver and executors share (any file system Spark can write)."""
 
     tables = {"documents": schemas.DOCUMENTS, "chunks": schemas.CHUNKS, "link_candidates": schemas.LINKS}
+    #: The column with a row's document, which names its bucket.
+    owner = {"documents": "document_id", "chunks": "document_id", "link_candidates": "source_document_id"}
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS) -> None:
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
 
     def _fs(self):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), self.spark._jvm.org.apache.hadoop.fs.Path
 
     def version(self) -> str | None:
+        """The name of the newest pointer: a number of 12 digits and a manifest."""
         fs, path = self._fs()
-        p = path(f"{self.root}/{_POINTER}")
-        if not fs.exists(p):
+        folder = path(f"{self.root}/pointers")
+        if not fs.exists(folder):
             return None
-        return self.spark.read.text(f"{self.root}/{_POINTER}").first()[0]
-
-    def read(self, name: str) -> DataFrame:
-        v = self.version()
-        if v is None:
+        return max((f.getPath().getName() for f in fs.listStatus(folder) if not f.getPath().getName().startswith((".", "_"))), default=None)
+
+    def _manifest(self, version: str | None) -> dict:
+        if version is None:
+            return {"buckets": self.buckets, "files": {t: {} for t in self.tables}}
+        name = version.split(".", 1)[1]
+        return json.loads(self.spark.read.text(f"{self.root}/manifests/{name}", wholetext=True).first()[0])
+
+    def bucket_of(self, document_id: Column) -> Column:
+        return F.pmod(F.xxhash64(document_id), F.lit(self._manifest(self.version())["buckets"])).cast("int")
+
+    def read(self, name: str, buckets: Iterable[int] | None = None) -> DataFrame:
+        """A table, or some of its buckets, as of the newest write."""
+        files = self._manifest(self.version())["files"][name]
+        keep = None if buckets is None else {str(b) for b in buckets}
+        paths = [f"{self.root}/data/{v}/{name}/bucket={b}" for b, v in sorted(files.items()) if keep is None or b in keep]
+        if not paths:
             return self.spark.createDataFrame([], self.tables[name])
-        return self.spark.read.schema(self.tables[name]).parquet(f"{self.root}/{v}/{name}")
+        return self.spark.read.schema(self.tables[name]).parquet(*paths)
 
-    def write(self, frames: dict[str, DataFrame]) -> str:
-        """A new version with the given tables and the others as they are; the pointer moves last."""
+    def write(self, frames: dict[str, DataFrame], buckets: Iterable[int] | None = None) -> str:
+        """Replaces tables, or these buckets of them, by the rows given; the pointer moves last. Tables that aren't given stay as they are."""
+        before = self.version()
+        manifest = self._manifest(before)
+        n = manifest["buckets"]
         v = f"v-{uuid.uuid4().hex[:12]}"
-        for name, schema in self.tables.items():
-            df = frames.get(name, self.read(name)).select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema))
-            w = df.write.mode("error")
-            (w.partitionBy("chunk_level") if name == "chunks" else w).parquet(f"{self.root}/{v}/{name}")
         fs, path = self._fs()
-        out = fs.create(path(f"{self.root}/.{v}"), True)
-        out.write(bytearray(v.encode()))
-        out.close()
-        fs.delete(path(f"{self.root}/{_POINTER}"), False)
-        if not fs.rename(path(f"{self.root}/.{v}"), path(f"{self.root}/{_POINTER}")):
+        for name, df in frames.items():
+            rows = df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in self.tables[name]))
+            rows = rows.withColumn("bucket", F.pmod(F.xxhash64(self.owner[name]), F.lit(n)).cast("int"))
+            order = ["bucket", "chunk_level"] if name == "chunks" else ["bucket"]
+            rows.repartition("bucket").sortWithinPartitions(*order).write.mode("error").partitionBy("bucket").parquet(f"{self.root}/data/{v}/{name}")
+            out = path(f"{self.root}/data/{v}/{name}")
+            new = {f.getPath().getName().split("=", 1)[1]: v for f in fs.listStatus(out) if f.getPath().getName().startswith("bucket=")}
+            gone = set(manifest["files"][name]) if buckets is None else {str(b) for b in buckets}
+            manifest["files"][name] = {b: x for b, x in manifest["files"][name].items() if b not in gone} | new
+        self._put(f"manifests/{v}", json.dumps(manifest))
+        number = 1 + (int(before.split(".", 1)[0]) if before else 0)
+        self._put(f"pointers/.{v}", v)
+        # a rename fails where another writer has taken the number, so none overwrites what it hasn't read
+        if any(f.getPath().getName().startswith(f"{number:012d}.") for f in fs.listStatus(path(f"{self.root}/pointers"))) or not fs.rename(path(f"{self.root}/pointers/.{v}"), path(f"{self.root}/pointers/{number:012d}.{v}")):
             raise OSError("the pointer couldn't be moved")
         return v
 
+    def _put(self, name: str, text: str) -> None:
+        fs, path = self._fs()
+        out = fs.create(path(f"{self.root}/{name}"), True)
+        out.write(bytearray(text.encode()))
+        out.close()
+
 
 def prepared(pages: DataFrame) -> DataFrame:
     """Pages as documents: canonical ``source_url``, id from URL and content; a page that comes twice counts by its newest fetch."""

@@ -19,22 +19,27 @@ from corvane.sources.store import Store, changes, new_links, without_documents
 def upsert(store: Store, pages: DataFrame, config: EngineConfig = EngineConfig(), tokenizer: Tokenizer | None = None, embedder: Embedder | None = None) -> dict[str, int]:
     """Pages into a store: unchanged content is left alone, changed documents replace their chunks and links, all in one version.
 
+    Only the buckets of the documents that change are read again and written.
+
     Gives the number of pages inserted, replaced and unchanged. An empty batch
     and one without changes write nothing.
     """
-    docs, chunks, links = (store.read(t) for t in ("documents", "chunks", "link_candidates"))
-    todo = cut_lineage(changes(normalized(pages), docs))
+    todo = cut_lineage(changes(normalized(pages), store.read("documents")))
     counts = {r.action: r["count"] for r in todo.groupBy("action").count().collect()}
     write = todo.where("action <> 'unchanged'")
     if counts.get("insert", 0) + counts.get("replace", 0):
         gone = write.select("old_document_id")
         new = write.withColumn("indexed_at", F.current_timestamp())
+        # at most as many as the store has buckets
+        touched = [r.b for r in write.select(F.explode(F.array_compact(F.array(F.col("old_document_id"), F.col("document_id")))).alias("d")).select(store.bucket_of(F.col("d")).alias("b")).distinct().collect()]
+        docs, chunks, links = (store.read(t, touched) for t in ("documents", "chunks", "link_candidates"))
         store.write(
             {
                 "documents": without_documents(docs, gone).unionByName(new.select(*docs.columns)),
                 "chunks": without_documents(chunks, gone).unionByName(chunks_of(write, config, tokenizer, embedder)),
                 "link_candidates": without_documents(links, gone, "source_document_id").unionByName(new_links(write).select(*links.columns)),
-            }
+            },
+            touched,
         )
     return {a: counts.get(a, 0) for a in ("insert", "replace", "unchanged")}
 

@@ -8,7 +8,7 @@ from corvane.config import EngineConfig
 from corvane.functions import text
 from corvane.functions.urls import language_of, page_of, site_of
 from corvane.operators import expansion
-from corvane.plans.engine import Corpus, Engine, Failure, status
+from corvane.plans.engine import Corpus, Engine, Failure, TimedOut, status, totals
 from corvane.sources import links as lk
 from corvane.sources import pages as pg
 from corvane.sources import store as st
@@ -164,3 +164,80 @@ def test_engine_on_an_empty_corpus(spark):
     e = Engine(spark, corpus(spark, page(1, "x")), EngineConfig(max_expansion_depth=1))
     assert "No content was found" in e.answer(None, "anything")
     assert page_of() is not None
+
+
+def test_a_write_touches_only_its_buckets_and_readers_never_see_nothing(spark, tmp_path):
+    s = st.Store(spark, f"file://{tmp_path}/store", buckets=16)
+    upsert(s, spark.createDataFrame([page(i, f"## P\n\nbody {i}") for i in range(30)], PAGE))
+    before, v = s._manifest(s.version())["files"], s.version()
+    upsert(s, spark.createDataFrame([page(3, "## P\n\nchanged", d=4)], PAGE))
+    after = s._manifest(s.version())["files"]
+    moved = {b for b in set(before["documents"]) | set(after["documents"]) if before["documents"].get(b) != after["documents"].get(b)}
+    assert 1 <= len(moved) <= 2 and s.read("documents").count() == 30 and s.read("chunks").where("chunk_text like '%changed%'").count() >= 1
+    # the old pointer stays until the new one stands: a crash before that leaves the store as it was
+    assert s._manifest(v)["files"] == before
+    real, s._put = s._put, lambda name, text: (_ for _ in ()).throw(OSError("crash")) if name.startswith("pointers/") else real(name, text)
+    with pytest.raises(OSError):
+        upsert(s, spark.createDataFrame([page(5, "## P\n\nlost", d=4)], PAGE))
+    again = st.Store(spark, f"file://{tmp_path}/store")
+    assert again.read("documents").count() == 30 and again.read("chunks").where("chunk_text like '%lost%'").count() == 0
+    assert upsert(again, spark.createDataFrame([page(5, "## P\n\nlost", d=4)], PAGE))["replace"] == 1
+
+
+def test_links_to_follow_are_those_of_pages_taken_in(spark):
+    from corvane.operators import expansion
+
+    docs = spark.createDataFrame([("d1", "https://a.example/1", 0), ("d2", "https://b.example/1", 0)], "document_id string, source_url string, depth int")
+    link = lambda i, d, t, title=None: (i, d, f"https://{'ab'[d == 'd2']}.example/1", f"https://x.example/{t}", title, None, day(int(i[1:])), None, 0)
+    links = spark.createDataFrame([link("l9", "d1", "far"), link("l1", "d2", "other"), link("l2", "d1", "near"), link("l3", "d1", "near"), link("l4", "d1", "done")], schemas.LINKS)
+    done = spark.createDataFrame([("https://a.example/1",), ("https://x.example/done",), (None,)], "url string")
+    got = expansion.first_candidates(links, docs, done, 20).orderBy("place").collect()
+    assert [(r.place, r.id, r.target_url) for r in got] == [(1, "l2", "https://x.example/near"), (2, "l9", "https://x.example/far")]
+    found = spark.createDataFrame([("d1", "https://x.example/far", "red trees", None, day(50)), ("d1", "https://x.example/new", "blue", None, day(50))], "source_document_id string, target_url string, title string, description string, at timestamp")
+    got = {r.target_url: r.title for r in expansion.first_candidates(links, docs, done, 20, found).collect()}
+    assert got == {"https://x.example/near": None, "https://x.example/far": "red trees", "https://x.example/new": "blue"}
+    args = ("https://a.example/1", 1, "red trees", ["trees"], ["https://a.example/1"], 20, 1, 0.05)
+    assert expansion.selected(links, docs, *args, found=found) == ["https://x.example/far"] and expansion.selected(links.limit(0), docs, *args) == []
+
+
+def test_page_payloads():
+    class Obj:
+        data = [1, None, 2]
+
+    assert pg.payload_items([1, 2]) == [1, 2] and pg.payload_items({"links": [1, 2, 3]}, 2) == [1, 2] and pg.payload_items(Obj()) == [1, 2]
+    for bad in (None, 3, "x", {"other": []}):
+        with pytest.raises(ValueError):
+            pg.payload_items(bad)
+
+
+def test_engine_limits_and_fallbacks(spark):
+    import time
+
+    c = corpus(spark, page(1, "## Intro\n\nAn   index stores pages.\n\n\n\nMore of it."))
+    told = []
+    e = Engine(spark, c, EngineConfig(max_expansion_depth=0), decompose=lambda q: 1 / 0)
+    e.on_progress = lambda phase, message: told.append((phase, message))
+    with pytest.warns(UserWarning, match="decomposer"):
+        got = e.run("https://a.example/1", "index pages", constraints=["2024"])
+    assert got.chunks and all(r["verbatim_text"] in "## Intro\n\nAn   index stores pages.\n\n\n\nMore of it." for r in got.citations)
+    assert ("retrieval", "Searching the corpus") in told
+    e.decompose = lambda q: ["a", " ", "b"]
+    assert e._sub_queries("q", ["2024"], ["q"]) == ["a 2024", "b 2024"]
+    slow = Engine(spark, c, EngineConfig(timeout_s=1), decompose=lambda q: time.sleep(2) or ["index"])
+    with pytest.raises(TimedOut):
+        slow.answer("https://a.example/1", "index pages")
+    assert e.search("index", retrieval_mode="full_context").count() == 1
+    with pytest.raises(ValueError):
+        e.search("index", retrieval_mode="none")
+    t = totals(c.documents, c.chunks).first()
+    assert (t.documents, t.parents) == (1, 1) and t.children >= 1
+
+
+def test_a_remote_reranker_takes_an_instruction(spark):
+    from corvane.functions.providers import RemoteReranker
+
+    asked = []
+    r = RemoteReranker(lambda q, p: asked.append(q) or [(1, 0.9), (0, 0.2)], "Prefer short ones")
+    assert r.rerank("cats", ["x", "y"]) == [(1, 0.9, 0.9), (0, 0.2, 0.2)] and asked == ["Prefer short ones. cats"]
+    with pytest.raises(ValueError):
+        RemoteReranker(lambda q, p: [(7, 1.0)]).rerank("q", ["x"])
