@@ -58,13 +58,13 @@ class Store:
         """A table, or some of its buckets, as of the newest write."""
         files = self._manifest(self.version())["files"][name]
         keep = None if buckets is None else {str(b) for b in buckets}
-        paths = [f"{self.root}/data/{v}/{name}/bucket={b}" for b, v in sorted(files.items()) if keep is None or b in keep]
+        paths = [f"{self.root}/data/{v}/{name}/bucket={b}" for b, vs in sorted(files.items()) for v in vs if keep is None or b in keep]
         if not paths:
             return self.spark.createDataFrame([], self.tables[name])
         return self.spark.read.schema(self.tables[name]).parquet(*paths)
 
-    def write(self, frames: dict[str, DataFrame], buckets: Iterable[int] | None = None) -> str:
-        """Replaces tables, or these buckets of them, by the rows given; the pointer moves last. Tables that aren't given stay as they are."""
+    def write(self, frames: dict[str, DataFrame], buckets: Iterable[int] | None = None, append: Iterable[str] = ()) -> str:
+        """Replaces tables, or these buckets of them, by the rows given; the pointer moves last. Tables that aren't given stay as they are; those in ``append`` keep their rows."""
         before = self.version()
         manifest = self._manifest(before)
         n = manifest["buckets"]
@@ -76,9 +76,13 @@ class Store:
             order = ["bucket", "chunk_level"] if name == "chunks" else ["bucket"]
             rows.repartition("bucket").sortWithinPartitions(*order).write.mode("error").partitionBy("bucket").parquet(f"{self.root}/data/{v}/{name}")
             out = path(f"{self.root}/data/{v}/{name}")
-            new = {f.getPath().getName().split("=", 1)[1]: v for f in fs.listStatus(out) if f.getPath().getName().startswith("bucket=")}
-            gone = set(manifest["files"][name]) if buckets is None else {str(b) for b in buckets}
-            manifest["files"][name] = {b: x for b, x in manifest["files"][name].items() if b not in gone} | new
+            new = {f.getPath().getName().split("=", 1)[1]: [v] for f in fs.listStatus(out) if f.getPath().getName().startswith("bucket=")}
+            old = manifest["files"][name]
+            if name in append:
+                manifest["files"][name] = {b: old.get(b, []) + new.get(b, []) for b in {*old, *new}}
+            else:
+                gone = set(old) if buckets is None else {str(b) for b in buckets}
+                manifest["files"][name] = {b: x for b, x in old.items() if b not in gone} | new
         self._put(f"manifests/{v}", json.dumps(manifest))
         number = 1 + (int(before.split(".", 1)[0]) if before else 0)
         self._put(f"pointers/.{v}", v)
