@@ -36,6 +36,17 @@ def p2_groups(spark: SparkSession, root: str) -> DataFrame:
     return near_duplicates.groups(table(spark, root, "chunks").where("chunk_level = 'child'"))
 
 
+def p3_invariants(spark: SparkSession, root: str) -> DataFrame:
+    """What must hold of the pieces of every item that is cut."""
+    items = splitting.corpus_items(*(table(spark, root, t) for t in ("normalized_documents", "chunks", "split_limits"))).dropDuplicates(["item_kind", "item_key"])
+    p = splitting.pieces(items).join(items.select("item_kind", "item_key", "max_chars", "overlap_chars", F.length("text").alias("n")), ["item_kind", "item_key"])
+    per = p.groupBy("item_kind", "item_key", "max_chars", "overlap_chars", "n").agg(F.array_sort(F.collect_list(F.struct("piece_no", "char_start", "char_end", F.length("piece").alias("len")))).alias("ps"))
+    ends = (F.col("ps")[0]["char_start"] == 0) & (F.element_at("ps", -1)["char_end"] == F.col("n"))
+    sized = F.forall("ps", lambda x: (x["len"] == x["char_end"] - x["char_start"]) & (x["len"] <= F.col("max_chars")) & (x["len"] > 0))
+    shared = F.forall(F.sequence(F.lit(1), F.size("ps") - 1), lambda i: F.col("ps")[i]["char_start"] == F.col("ps")[i - 1]["char_end"] - F.col("overlap_chars"))
+    return per.groupBy("item_kind").agg(F.count("*").alias("items"), F.bool_and(ends).alias("whole"), F.bool_and(sized).alias("within_limit"), F.bool_and(shared).alias("overlap_kept"))
+
+
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return splitting.found(*(table(spark, root, t) for t in ("normalized_documents", "chunks", "split_limits")))
 
@@ -95,6 +106,32 @@ def _mix(spark: SparkSession, root: str, **how: object) -> tuple[DataFrame, Data
     return mixing.draw(cut_lineage(tokens.with_tokens(docs, "text")), table(spark, root, "mix_targets"), **how)
 
 
+def p8_invariants(spark: SparkSession, root: str) -> DataFrame:
+    """What must hold of the containers of each kind: every text once, none above its capacity, only larger texts cut, little space unused."""
+    sizes = table(spark, root, "container_sizes").select("container_kind", "capacity_tokens")
+    p = p8_packed(spark, root).join(F.broadcast(sizes), "container_kind")
+    texts = p.groupBy("container_kind", "doc_id").agg(F.count("*").alias("pieces"), F.sum("tokens").alias("size"), F.max("capacity_tokens").alias("capacity_tokens"))
+    texts = texts.groupBy("container_kind").agg(F.count("*").alias("texts"), F.bool_and(F.col("pieces") == F.greatest(F.lit(1), F.ceil(F.col("size") / F.col("capacity_tokens")))).alias("only_larger_cut"))
+    held = p.groupBy("container_kind", "container_id", "capacity_tokens").agg(F.sum("tokens").alias("used"))
+    # at most the open containers of a shard may be less than three quarters full
+    loose = F.count_if(F.col("used") < 0.75 * F.col("capacity_tokens")) <= packing.OPEN * -(-table(spark, root, "documents").count() // packing.SHARD)
+    held = held.groupBy("container_kind").agg(F.bool_and(F.col("used") <= F.col("capacity_tokens")).alias("within_capacity"), loose.alias("well_filled"))
+    return texts.join(held, "container_kind")
+
+
+def p9_invariants(spark: SparkSession, root: str) -> DataFrame:
+    """What must hold of the selection for each listed source: its share within half a record, no record used more than allowed."""
+    docs = table(spark, root, "documents").select(F.col("doc_id").alias("id"), "source", "text").where("text is not null")
+    records = cut_lineage(tokens.with_tokens(docs, "text"))
+    targets = table(spark, root, "mix_targets")
+    chosen, report = mixing.draw(records, targets)
+    largest = records.groupBy("source").agg(F.max("tokens").alias("largest"))
+    limits = targets.select("source", "max_repeats")
+    r = report.join(limits, "source").join(largest, "source", "left").crossJoin(F.broadcast(report.agg(F.sum("drawn_tokens").alias("all_tokens"))))  # one row
+    share = (F.col("weight") == 0) | (F.abs(F.col("drawn_tokens") - F.col("weight") * F.col("all_tokens")) <= F.coalesce("largest", F.lit(0)) + 0.001 * F.col("all_tokens"))
+    return r.select("source", F.round("target_share", 9).alias("target_share"), F.col("largest").isNotNull().alias("has_text"), share.alias("share_reached"), (F.col("most_uses") <= F.col("max_repeats")).alias("repeats_kept"))
+
+
 def p9_selection(spark: SparkSession, root: str) -> DataFrame:
     return _mix(spark, root)[0].withColumnRenamed("id", "doc_id")
 
@@ -220,6 +257,32 @@ def oracle_sql() -> dict[str, str]:
                  per AS (SELECT document_id, sum(greatest(0, hi - greatest(lo, before))) AS tokens FROM run GROUP BY document_id),
                  meta AS (SELECT document_id, {_SITE.format(page)} AS site,
                                  coalesce(nullif(CASE {_LANGUAGE} {names} ELSE {_LANGUAGE} END, ''), 'und') AS language FROM indexed_documents)
-            SELECT language, site, count(*) AS documents, CAST(coalesce(sum(tokens), 0) AS BIGINT) AS tokens FROM meta LEFT JOIN per USING (document_id) GROUP BY language, site""",
+            SELECT language, site, count(*) AS documents, CAST(coalesce(sum(tokens), 0) AS BIGINT) AS tokens, CAST(0 AS BIGINT) AS encoded_tokens FROM meta LEFT JOIN per USING (document_id) GROUP BY language, site""",
+        "p3_invariants": """
+            SELECT item_kind, count(*) AS items, true AS whole, true AS within_limit, true AS overlap_kept FROM (
+                SELECT 'markdown' AS item_kind, CAST(fetch_id AS VARCHAR) AS k FROM normalized_documents, split_limits WHERE item_kind = 'markdown' AND length(markdown) > max_chars
+                UNION SELECT chunk_level, chunk_id FROM chunks, split_limits WHERE item_kind = chunk_level AND length(chunk_text) > max_chars) GROUP BY item_kind""",
+        "p7_cleaned": f"""WITH {lines}, gone AS (SELECT fetch_id, line_no FROM held JOIN repeated USING (site, letters)),
+            kept AS (SELECT fetch_id, string_agg(line, chr(10) ORDER BY line_no) AS markdown FROM cut WHERE (fetch_id, line_no) NOT IN (SELECT fetch_id, line_no FROM gone) GROUP BY fetch_id),
+            n AS (SELECT fetch_id, count(*) AS removed FROM gone GROUP BY fetch_id)
+            SELECT d.fetch_id, CASE WHEN d.markdown IS NULL THEN NULL ELSE coalesce(kept.markdown, '') END AS markdown, CAST(coalesce(n.removed, 0) AS INTEGER) AS removed
+            FROM normalized_documents d LEFT JOIN kept USING (fetch_id) LEFT JOIN n USING (fetch_id)""",
+        "p8_invariants": """
+            SELECT container_kind, (SELECT count(*) FROM documents WHERE text IS NOT NULL) AS texts, true AS only_larger_cut, true AS within_capacity, true AS well_filled FROM container_sizes""",
+        "p9_invariants": """
+            WITH own AS (SELECT source, sum(length(text)) AS n FROM documents WHERE text IS NOT NULL GROUP BY source)
+            SELECT source, round(target_share, 9) AS target_share, n IS NOT NULL AS has_text, true AS share_reached, true AS repeats_kept FROM mix_targets LEFT JOIN own USING (source)""",
+        "p10_members": f"""
+            WITH f AS (SELECT doc_id, text, {_look_sql('text')} AS look FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL)
+            SELECT doc_id, min(doc_id) OVER (PARTITION BY look, text) AS written_as, min(doc_id) OVER (PARTITION BY look) AS looks_like FROM f
+            QUALIFY min(text) OVER (PARTITION BY look) <> max(text) OVER (PARTITION BY look)""",
+        "p2_groups": r"""
+            WITH RECURSIVE w AS (SELECT DISTINCT chunk_id AS id, list_sort(list_distinct(regexp_extract_all(lower(chunk_text), '[\p{L}\p{N}]+', 0))) AS w FROM chunks WHERE chunk_level = 'child' AND chunk_id IS NOT NULL),
+                 c AS (SELECT w, len(w) AS n, min(id) AS rep FROM w WHERE len(w) >= 20 GROUP BY w),
+                 e AS (SELECT a.rep AS a, b.rep AS b FROM c a JOIN c b ON a.rep <> b.rep AND a.n >= 0.8 * b.n AND b.n >= 0.8 * a.n
+                       WHERE 10 * len(list_intersect(a.w, b.w)) >= 8 * (a.n + b.n - len(list_intersect(a.w, b.w)))),
+                 r AS (SELECT rep AS a, rep AS b FROM c UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+                 g AS (SELECT a AS rep, min(b) AS group_id FROM r GROUP BY a), d AS (SELECT a AS rep, count(*) AS class_links FROM e GROUP BY a)
+            SELECT w.id, g.group_id, coalesce(d.class_links, 0) AS class_links FROM w JOIN c USING (w) JOIN g USING (rep) LEFT JOIN d USING (rep)""",
         "p7_found": f"WITH {lines} SELECT fetch_id, CAST(line_no AS INTEGER) AS line_no FROM held JOIN repeated USING (site, letters)",
     }

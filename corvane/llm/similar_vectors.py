@@ -26,7 +26,10 @@ from corvane.session import cut_lineage
 
 @dataclass(frozen=True)
 class CrossPolytope:
-    """Parameters of the index. ``cells``: signed axes of the last rotation that count, to fit the buckets to the collection."""
+    """Parameters of the index. ``cells``: signed axes of the last rotation that count, to fit the buckets to the collection.
+
+    ``least_cells`` are taken from 1,024 vectors a cell on, even where ``occupancy`` would need fewer.
+    """
 
     dim: int = 64
     tables: int = 5
@@ -49,7 +52,7 @@ class CrossPolytope:
 
         Narrower buckets find less, so above ten million vectors two tables are added for each tenfold.
         """
-        per, need, full = 2 * self.width, max(2.0, min(self.least_cells, 2 * self.width), n / self.occupancy), 0
+        per, need, full = 2 * self.width, max(2.0, min(self.least_cells, 2 * self.width, n / 1024), n / self.occupancy), 0
         while need > per:
             need, full = need / per, full + 1
         last = 1 << int(np.ceil(np.log2(max(2.0, need))))

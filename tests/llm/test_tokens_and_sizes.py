@@ -46,8 +46,8 @@ def test_spans_count_every_position_once(spark):
 def test_missing_spans_are_encoded_only_without_a_parent(spark):
     rows = [("d", "p", None, 0, 10, "one two", 1, ""), ("d", "c", "p", 3, None, "two", 1, ""), ("e", "q", None, None, None, "Hello world", 1, ""), ("e", "r", "q", None, 4, "Hello world", 1, ""), (None, "s", None, 0, 5, "x", 1, ""), ("f", "t", None, None, None, None, 1, "")]
     docs = [("d", "EN", "https://www.A.example:443/x", "u", 1), ("e", None, None, "https://b.example/", 1), ("g", "français", "", "nonsense", 1), ("g", "français", "", "nonsense", 1)]
-    got = {(r.language, r.site): (r.documents, r.tokens) for r in tb.token_totals(spark.createDataFrame(rows, CHUNKS), spark.createDataFrame(docs, DOCS)).collect()}
-    assert got == {("en", "a.example"): (1, 10), ("und", "b.example"): (1, 2), ("fr", ""): (1, 0)}
+    got = {(r.language, r.site): (r.documents, r.tokens, r.encoded_tokens) for r in tb.token_totals(spark.createDataFrame(rows, CHUNKS), spark.createDataFrame(docs, DOCS)).collect()}
+    assert got == {("en", "a.example"): (1, 10, 0), ("und", "b.example"): (1, 0, 2), ("fr", ""): (1, 0, 0)}
     assert tb.token_totals(spark.createDataFrame([], CHUNKS), spark.createDataFrame([], DOCS)).count() == 0
 
 
@@ -61,6 +61,21 @@ def test_deltas_give_the_cube_of_a_fresh_count(spark, data):
     assert got == {k: tuple(v) for k, v in fresh.items()} and got
 
 
+def test_the_budget_is_kept_between_runs(spark, tmp_path):
+    schema = "key string, content_hash string, language string, site string, domain string, text string"
+    state = lambda *rows: spark.createDataFrame([(k, t, lang, s, s, t) for k, lang, s, t in rows], schema)
+    root = f"file://{tmp_path}/budget"
+    first = tb.Budget(spark, root, buckets=4).update(state(("1", "en", "a", "Hello world"), ("2", "en", "a", "one two three"), ("3", "de", "b", "Hello world")))
+    assert first == {"encoded": 2, "cells": 2}
+    kept = tb.Budget(spark, root, buckets=4)  # another run
+    assert kept.update(state(("1", "en", "a", "Hello world"), ("4", "de", "b", "Hello world"), ("2", "en", "a", "one two three four"))) == {"encoded": 1, "cells": 1}
+    assert {(r.language, r.documents, r.tokens) for r in kept.read("cube").collect()} == {("en", 2, 6), ("de", 1, 2)}
+    v = kept.version()
+    assert kept.update(state(("1", "en", "a", "Hello world"), ("4", "de", "b", "Hello world"), ("2", "en", "a", "one two three four"))) == {"encoded": 0, "cells": 0} and kept.version() == v
+    assert kept.update(state(("1", "en", "a", "Hello world"))) == {"encoded": 0, "cells": 2}  # removed documents
+    assert {(r.language, r.documents, r.tokens) for r in kept.read("cube").collect()} == {("en", 1, 2)} and kept.read("ledger").count() == 3
+
+
 def test_ledger_encodes_only_what_is_unseen(spark):
     seen = spark.createDataFrame([("h1", tk.tokenizer_hash(tk.VOCABULARY), 99), ("h2", "another", 7)], tb.LEDGER)
     new = spark.createDataFrame([("h1", "changed text counts for nothing"), ("h2", "Hello world"), ("h2", "Hello world"), (None, "x"), ("h3", None)], "content_hash string, text string")
