@@ -113,6 +113,24 @@ def c9_chunks(spark: SparkSession, root: str) -> DataFrame:
     return chunking.chunks_of(docs, CONFIG)
 
 
+def c9_invariants(spark: SparkSession, root: str) -> DataFrame:
+    """What must hold of the chunks of every page, counted over all of them."""
+    docs = store.prepared(pages.normalized(table(spark, root, "normalized_documents"))).where("markdown is not null and trim(markdown) <> ''")
+    c = chunking.chunks_of(docs, CONFIG).select("chunk_id", "document_id", "parent_id", "chunk_level", "chunk_index", "chunk_text", "char_start", "char_end", "token_start", "token_end", F.size("embedding").alias("dims"))
+    parent = c.where("chunk_level = 'parent'").select(F.col("chunk_id").alias("parent_id"), F.col("char_start").alias("ps"), F.col("char_end").alias("pe"), F.col("token_start").alias("ts"), F.col("token_end").alias("te"))
+    child = c.where("chunk_level = 'child'").join(parent, "parent_id", "left")
+    text = docs.select("document_id", "markdown")
+    bad = lambda cond: F.count_if(~F.coalesce(cond, F.lit(False)))
+    inside = child.join(text, "document_id").agg(
+        bad((F.col("ps") <= F.col("char_start")) & (F.col("char_end") <= F.col("pe")) & (F.col("ts") <= F.col("token_start")) & (F.col("token_end") <= F.col("te"))).alias("outside_parent"),
+        bad((F.col("char_start") >= 0) & (F.col("char_start") < F.col("char_end")) & (F.col("char_end") <= F.length("markdown"))).alias("outside_page"),
+        bad(F.col("dims") == CONFIG.embedding_dims).alias("without_vector"),
+        bad(F.substr("markdown", F.col("char_start") + 1, F.length("chunk_text")).contains(F.substring_index("chunk_text", "\n", 1))).alias("not_verbatim"),
+    )
+    whole = c.agg(F.countDistinct("document_id").alias("pages"), (F.count("*") - F.countDistinct("chunk_id")).alias("repeated_ids"))
+    return whole.crossJoin(inside)  # one row each
+
+
 def c14_markdown_flags(spark: SparkSession, root: str) -> DataFrame:
     c = table(spark, root, "chunks").select("chunk_id", "chunk_text").distinct()
     return c.select("chunk_id", *(f.alias(n) for n, f in text.markdown_flags(F.col("chunk_text")).items()))
@@ -256,6 +274,13 @@ def x1_link_scores(spark: SparkSession, root: str) -> DataFrame:
     return expansion.best(_rounded(s, "score"), 20, 0.12).select("query_id", "rank", "id", "target_url", "score")
 
 
+def x2_candidates(spark: SparkSession, root: str) -> DataFrame:
+    """The first twenty links of the pages at depth 0, as one run would score them after taking those pages in."""
+    links, docs = table(spark, root, "link_candidates"), table(spark, root, "indexed_documents")
+    taken = docs.where("depth = 0").select(F.col("source_url").alias("url"))
+    return expansion.first_candidates(links, docs, taken, CONFIG.candidates_to_score).select("place", "id", "target_url")
+
+
 def x3_parent_urls(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "indexed_documents").select("document_id", expansion.parent_urls(F.col("source_url")).alias("parents"))
 
