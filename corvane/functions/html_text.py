@@ -107,17 +107,19 @@ def _math(n: Node, images: list, base: str | None) -> str:
     return f"\n\n$${tex}$$\n\n" if n.attrs.get("display") == "block" else f"${tex}$"
 
 
-def latex(n: Node | str) -> str:
-    """MathML as LaTeX; unknown elements give what they hold."""
+def latex(n: Node | str, depth: int = 0) -> str:
+    """MathML as LaTeX; unknown elements give what they hold, as does all nested deeper than 150."""
     if isinstance(n, str):
         return n.strip()
+    if depth > 150:
+        return n.text().strip()
     kids = [c for c in n.children if isinstance(c, Node) or c.strip()]
     if n.tag in ("mi", "mn", "mo", "mtext"):
         return _stripped(n)
     if n.tag == "mtable":
-        rows = [" & ".join(latex(d) for d in r.children if isinstance(d, Node) and d.tag == "mtd") for r in n.children if isinstance(r, Node) and r.tag == "mtr"]
+        rows = [" & ".join(latex(d, depth + 2) for d in r.children if isinstance(d, Node) and d.tag == "mtd") for r in n.children if isinstance(r, Node) and r.tag == "mtr"]
         return r"\begin{matrix}" + r" \\ ".join(rows) + r"\end{matrix}"
-    parts = [latex(c) for c in kids]
+    parts = [latex(c, depth + 1) for c in kids]
     if n.tag in _PAIRS and len(parts) > 1:
         return _PAIRS[n.tag] % (parts[0], parts[1])
     if n.tag in _MARKS and len(parts) > 1:

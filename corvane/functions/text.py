@@ -32,11 +32,6 @@ def word_count(c: Column) -> Column:
     return F.size(F.filter(F.split(F.coalesce(c, F.lit("")), r"(?U)\s+"), lambda w: w != ""))
 
 
-def content_tokens(c: Column) -> Column:
-    """Distinct Unicode words of more than two characters, in lower case."""
-    return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"(?U)\w+"), F.lit(0)), lambda w: F.length(w) > 2))
-
-
 def jaccard(a: Column, b: Column) -> Column:
     """Size of the intersection by size of the union of two arrays without repeats; 0 where either is empty or null."""
     same = F.size(F.array_intersect(a, b))
@@ -55,57 +50,11 @@ def without_markup(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]+>", " "), r"(?U)\s+", " "))
 
 
-def plain_markdown(c: Column) -> Column:
-    """Markdown without its signs, in lower case, for comparing it with text of HTML."""
-    for pattern, to in ((r"`{1,3}", " "), (r"\[(.*?)\]\((.*?)\)", "$1"), (r"!\[(.*?)\]\((.*?)\)", "$1"), (r"[*_>#|\\-]+", " "), (r"(?U)\s+", " ")):
-        c = F.regexp_replace(c, pattern, to)
-    return F.lower(F.trim(c))
-
-
-def markdown_flags(c: Column) -> dict[str, Column]:
-    """Rich content of Markdown; formulas and definition lists can only be seen in HTML."""
-    notes = "note|warning|important|tip|caution|danger|info|success|example|see also|deprecated since"
-    return {
-        "has_table": c.rlike(r"(?dm)^\|.+\|\s*$"),
-        "has_code": c.contains("```"),
-        "has_math": F.lit(False),
-        "has_definition_list": F.lit(False),
-        "has_admonition": c.rlike(rf"(?idm)^({notes})\s*$"),
-        "has_steps": c.rlike(r"(?dm)^\s*\d+[.)]\s+"),
-    }
-
-
 def keeps_html(flag: str = "has_{}") -> Column:
     """Whether the HTML surface is worth keeping: any rich content but steps and images."""
     return F.coalesce(F.col("has_table") | F.col("has_code") | F.col("has_math") | F.col("has_definition_list") | F.col("has_admonition"), F.lit(False))
 
 
-def markdown_images(c: Column) -> Column:
-    """The images of Markdown as structs (url, alt, title, caption), without repeats."""
-    pattern = F.lit(r'!\[([^\]]*)\]\(([^)\s]+)(?:\s+"([^"]*)")?\)')
-    part = lambda i: F.regexp_extract_all(c, pattern, F.lit(i))
-    zipped = F.arrays_zip(part(2).alias("u"), part(1).alias("a"), part(3).alias("t"))
-    return F.array_distinct(F.transform(zipped, lambda x: F.struct(F.trim(x["u"]).alias("url"), missing(x["a"]).alias("alt"), missing(x["t"]).alias("title"), F.lit(None).cast("string").alias("caption"))))
-
-
-def distinct_by_case(c: Column) -> Column:
-    """Texts without those that an earlier one equals but for case."""
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.array().cast("array<string>").alias("seen"))
-    step = lambda s, x: F.when(F.array_contains(s["seen"], F.lower(x)), s).otherwise(F.struct(F.array_append(s["out"], x).alias("out"), F.array_append(s["seen"], F.lower(x)).alias("seen")))
-    return F.aggregate(c, start, step, lambda s: s["out"])
-
-
-def image_context(refs: Column) -> Column:
-    """Alt texts, titles and captions of images, each once, joined; null where there are none."""
-    texts = F.flatten(F.transform(refs, lambda x: F.array(missing(x["alt"]), missing(x["title"]), missing(x["caption"]))))
-    return F.nullif(F.array_join(distinct_by_case(F.filter(texts, lambda t: t.isNotNull())), " | "), F.lit(""))
-
-
-def embedding_text() -> Column:
-    """What is embedded of a child: its text, and its images' context where it has one."""
-    return F.when(F.coalesce(F.col("image_context_text"), F.lit("")) != "", F.concat("chunk_text", F.lit("\n\nImage context: "), "image_context_text")).otherwise(F.col("chunk_text"))
-
-
 def token_span() -> Column:
     """Tokens of a chunk: its span, or its words where the span is missing."""
     return F.coalesce(F.col("token_end") - F.col("token_start"), word_count(F.col("chunk_text")))

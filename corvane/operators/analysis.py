@@ -14,15 +14,21 @@ BOTH_FOR = r"(?i)^(.+?)\s+and\s+(.+?)\s+(?:for|in|with|of)\s+(.+)$"
 TWO_QUESTIONS = r"(?i)(.+?)\s+and\s+((?:when|how|what|why|where)\s+.+)"
 
 
+#: The words that tell a question's kind.
+HOW_TO = ("how do", "how to", "how can", "how does")
+COMPARISON = (" vs ", " versus ", "compare", "difference between")
+FACTUAL = ("what is", "what are", "who is", "who are", "when", "where")
+
+
 def query_type(query: Column) -> Column:
     """how_to, comparison, factual or exploratory, by question words."""
     q = F.trim(F.lower(query))
     starts = lambda *ws: F.greatest(*(q.startswith(w).cast("int") for w in ws)) == 1
     has = lambda *ws: F.greatest(*(q.contains(w).cast("int") for w in ws)) == 1
     return (
-        F.when(starts("how do", "how to", "how can", "how does"), "how_to")
-        .when(has(" vs ", " versus ", "compare", "difference between"), "comparison")
-        .when(starts("what is", "what are", "who is", "who are", "when", "where"), "factual")
+        F.when(starts(*HOW_TO), "how_to")
+        .when(has(*COMPARISON), "comparison")
+        .when(starts(*FACTUAL), "factual")
         .otherwise("exploratory")
     )
 

@@ -24,6 +24,7 @@ from corvane.config import EngineConfig
 from corvane.functions import dom
 from corvane.functions.providers import Embedder, HashingEmbedder, Tokenizer, WordTokenizer, checked_embeddings, token_offsets
 
+#: What marks headings, tables, admonitions, steps, images and rich elements.
 _H2 = re.compile(r"(?m)^##\s+.+$")
 _H1 = re.compile(r"(?m)^#\s+.+$")
 _GAP = re.compile(r"\n\s*\n+")
@@ -125,6 +126,16 @@ def plain(text: str) -> str:
     return text.strip().lower()
 
 
+def markdown_flags(text: str) -> list[bool]:
+    """table, code, math, definition list, admonition, steps that Markdown shows; formulas and definition lists can only be seen in HTML."""
+    return [bool(_TABLE.search(text)), "```" in text, False, False, bool(_NOTE.search(text)), bool(_STEP.search(text))]
+
+
+def embedding_text(text: str, context: str | None) -> str:
+    """What is embedded of a child: its text, and its images' context where it has one."""
+    return text + (f"\n\nImage context: {context}" if context else "")
+
+
 def squeezed(text: str | None) -> str | None:
     return (re.sub(r"\s+", " ", text).strip() or None) if text is not None else None
 
@@ -271,8 +282,7 @@ def children_of(parent: Piece, whole: HtmlContext | None, most: int, count: Call
             pos = at + len(t)
             start = place + at
             tag = context.best(t) if context is not None else None
-            seen = [bool(_TABLE.search(t)), "```" in t, False, False, bool(_NOTE.search(t)), bool(_STEP.search(t))]
-            flags = [x or y for x, y in zip(seen, html_flags(tag))]
+            flags = [x or y for x, y in zip(markdown_flags(t), html_flags(tag))]
             images = merged_images(t, tag)
             out.append(
                 Piece(t, start, start + len(t), parent.heading, first + len(out), parent.index, flags, snippet(t, tag, flags) if any(flags[:5]) else None, images, joined_context(x for i in images for x in i[1:]))
@@ -280,6 +290,24 @@ def children_of(parent: Piece, whole: HtmlContext | None, most: int, count: Call
     return out
 
 
+def facts(df: DataFrame, key: str, text: str, context: str | None = None) -> DataFrame:
+    """(key, flags, words, images, context, embedding_text) of Markdown texts without HTML, by what chunking itself uses; null texts have no row."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, given = b.column(1).to_pylist(), b.column(2).to_pylist()
+            images = [merged_images(t, None) for t in texts]
+            cols = [
+                pa.array([markdown_flags(t) for t in texts], pa.list_(pa.bool_())), pa.array([sorted(words(t)) for t in texts], pa.list_(pa.string())), pa.array([len(i) for i in images], pa.int32()),
+                pa.array([joined_context(x for i in some for x in i[1:]) for some in images], pa.string()), pa.array([embedding_text(t, c) for t, c in zip(texts, given)], pa.string()),
+            ]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], [key, "flags", "words", "images", "context", "embedding_text"])
+
+    rows = df.select(key, F.col(text).cast("string").alias("t"), (F.col(context) if context else F.lit(None)).cast("string").alias("c")).where("t is not null")
+    return rows.mapInArrow(run, f"{key} {kind}, flags array<boolean>, words array<string>, images int, context string, embedding_text string")
+
+
 def chunk_document(markdown: str | None, html: str | None, config: EngineConfig, tokenizer: Tokenizer) -> tuple[list[Piece], list[Piece]]:
     """(parents, children) of a document; nothing of an empty one. Without headings every four children make a parent."""
     if not markdown:
@@ -327,7 +355,7 @@ def chunks_of(documents: DataFrame, config: EngineConfig = EngineConfig(), token
     def rows(doc: dict) -> list[dict]:
         parents, children = chunk_document(doc["markdown"], doc["html"], config, tok)
         ends = tok.ends(doc["markdown"]) if parents else []
-        texts = [c.text + (f"\n\nImage context: {c.context}" if c.context else "") for c in children]
+        texts = [embedding_text(c.text, c.context) for c in children]
         vectors = checked_embeddings(emb, texts)
         out = []
         for level, some in (("parent", parents), ("child", children)):

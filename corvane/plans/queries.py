@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corvane import schemas
 from corvane.config import EngineConfig
 from corvane.functions import brief as briefs
 from corvane.functions import html_text, text, urls
@@ -116,8 +117,8 @@ def c9_chunks(spark: SparkSession, root: str) -> DataFrame:
 def c9_invariants(spark: SparkSession, root: str) -> DataFrame:
     """What must hold of the chunks of every page, counted over all of them."""
     docs = store.prepared(pages.normalized(table(spark, root, "normalized_documents"))).where("markdown is not null and trim(markdown) <> ''")
-    c = chunking.chunks_of(docs, CONFIG).select("chunk_id", "document_id", "parent_id", "chunk_level", "chunk_index", "chunk_text", "char_start", "char_end", "token_start", "token_end", F.size("embedding").alias("dims"))
-    parent = c.where("chunk_level = 'parent'").select(F.col("chunk_id").alias("parent_id"), F.col("char_start").alias("ps"), F.col("char_end").alias("pe"), F.col("token_start").alias("ts"), F.col("token_end").alias("te"))
+    c = chunking.chunks_of(docs, CONFIG).select("chunk_id", "document_id", "parent_id", "chunk_level", "chunk_index", "chunk_text", "char_start", "char_end", "token_start", "token_end", F.size("embedding").alias("dims"), F.array(*schemas.FLAGS, "has_image").alias("flags"))
+    parent = c.where("chunk_level = 'parent'").select(F.col("chunk_id").alias("parent_id"), F.col("char_start").alias("ps"), F.col("char_end").alias("pe"), F.col("token_start").alias("ts"), F.col("token_end").alias("te"), F.col("flags").alias("pf"))
     child = c.where("chunk_level = 'child'").join(parent, "parent_id", "left")
     text = docs.select("document_id", "markdown")
     bad = lambda cond: F.count_if(~F.coalesce(cond, F.lit(False)))
@@ -127,36 +128,33 @@ def c9_invariants(spark: SparkSession, root: str) -> DataFrame:
         bad(F.col("dims") == CONFIG.embedding_dims).alias("without_vector"),
         bad(F.substr("markdown", F.col("char_start") + 1, F.length("chunk_text")).contains(F.substring_index("chunk_text", "\n", 1))).alias("not_verbatim"),
     )
+    own = child.groupBy("parent_id").agg(F.array(*(F.max(F.col("flags")[i]) for i in range(7))).alias("any"), F.first("pf").alias("pf")).agg(bad(F.col("any") == F.col("pf")).alias("flags_differ"))
     whole = c.agg(F.countDistinct("document_id").alias("pages"), (F.count("*") - F.countDistinct("chunk_id")).alias("repeated_ids"))
-    return whole.crossJoin(inside)  # one row each
+    return whole.crossJoin(inside).crossJoin(own)  # one row each
 
 
 def c14_markdown_flags(spark: SparkSession, root: str) -> DataFrame:
     c = table(spark, root, "chunks").select("chunk_id", "chunk_text").distinct()
-    return c.select("chunk_id", *(f.alias(n) for n, f in text.markdown_flags(F.col("chunk_text")).items()))
+    f = chunking.facts(c, "chunk_id", "chunk_text")
+    return f.select("chunk_id", *(F.col("flags")[i].alias(n) for i, n in enumerate(schemas.FLAGS)))
 
 
 def c20_overlap(spark: SparkSession, root: str) -> DataFrame:
     """How many content words a child shares with its parent."""
     c = retrieval.once(table(spark, root, "chunks").select("chunk_id", "parent_id", "chunk_text"))
-    p = c.select(F.col("chunk_id").alias("parent_id"), text.content_tokens(F.col("chunk_text")).alias("pw"))
-    child = c.where("parent_id is not null").select("chunk_id", "parent_id", text.content_tokens(F.col("chunk_text")).alias("cw"))
+    f = chunking.facts(c, "chunk_id", "chunk_text").select("chunk_id", "words")
+    p = f.select(F.col("chunk_id").alias("parent_id"), F.col("words").alias("pw"))
+    child = c.where("parent_id is not null").select("chunk_id", "parent_id").join(f.withColumnRenamed("words", "cw"), "chunk_id")
     return child.join(p, "parent_id").select("chunk_id", F.size(F.array_intersect("cw", "pw")).alias("shared"))
 
 
 def c24_markdown_images(spark: SparkSession, root: str) -> DataFrame:
-    refs = text.markdown_images(F.col("markdown"))
-    return table(spark, root, "normalized_documents").where("markdown is not null").select("fetch_id", F.size(refs).alias("images"), text.image_context(refs).alias("context"))
-
-
-def c28_parent_flags(spark: SparkSession, root: str) -> DataFrame:
-    c = retrieval.once(table(spark, root, "chunks")).where("chunk_level = 'child'")
-    return c.groupBy("parent_id").agg(*(F.bool_or(f"has_{n}").alias(f"has_{n}") for n in ("table", "code", "math", "definition_list", "admonition", "steps", "image")))
+    return chunking.facts(table(spark, root, "normalized_documents"), "fetch_id", "markdown").select("fetch_id", "images", "context")
 
 
 def e3_embedding_text(spark: SparkSession, root: str) -> DataFrame:
     c = retrieval.once(table(spark, root, "chunks").where("chunk_level = 'child'"))
-    return c.select("chunk_id", text.embedding_text().alias("embedding_text"))
+    return chunking.facts(c, "chunk_id", "chunk_text", "image_context_text").select("chunk_id", "embedding_text")
 
 
 # retrieval
@@ -322,17 +320,28 @@ def m6_merged(spark: SparkSession, root: str) -> DataFrame:
 # presentation
 
 
+def _grouped(rows: DataFrame, make: Callable[[list[dict]], list[tuple]], schema: str) -> DataFrame:
+    """What a function of the brief gives for the rows of each group, in their order."""
+    import pandas as pd
+
+    names = [c.split(" ")[0] for c in schema.split(", ")]
+
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        given = part.sort_values("ord").to_dict("records")
+        return pd.DataFrame([(given[0]["group_id"], *r) for r in make(given)], columns=names)
+
+    return rows.groupBy("group_id").applyInPandas(one, schema)
+
+
 def f2_sources(spark: SparkSession, root: str) -> DataFrame:
     """Pages of each group's results, numbered by first appearance, with their headings."""
-    per = _arrivals(spark, root).groupBy("group_id", "source_url").agg(F.min("ord").alias("first"), F.array_sort(F.collect_set(F.when(F.col("section_heading") != "", F.col("section_heading")))).alias("headings"))
-    return per.select("group_id", "source_url", F.row_number().over(Window.partitionBy("group_id").orderBy("first", "source_url")).alias("number"), "headings")
+    return _grouped(_arrivals(spark, root), lambda rows: [(u, n, hs) for n, u, _, hs in briefs.source_entries(rows)], "group_id int, source_url string, number int, headings array<string>")
 
 
 def f8_citations(spark: SparkSession, root: str) -> DataFrame:
     """Quotes of each group's results, cut and without repeats, numbered in order."""
-    cut = F.when(F.length("selected_text") > 300, F.concat(F.substring("selected_text", 1, 297), F.lit("..."))).otherwise(F.col("selected_text"))
-    once = _arrivals(spark, root).groupBy("group_id", cut.alias("quote")).agg(F.min("ord").alias("first"))
-    return once.select("group_id", F.row_number().over(Window.partitionBy("group_id").orderBy("first")).alias("number"), "quote")
+    rows = _arrivals(spark, root).withColumn("verbatim_text", F.col("selected_text"))
+    return _grouped(rows, lambda rows: [(n, q) for n, q, _ in briefs.quote_entries(rows)], "group_id int, number int, quote string")
 
 
 def f1_briefs(spark: SparkSession, root: str) -> DataFrame:

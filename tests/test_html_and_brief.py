@@ -64,20 +64,20 @@ def test_brief_sections_and_order():
     assert [t.index(s) for s in ("[SOURCES]", "[EVIDENCE]", "[CITATIONS]", "[STATS]")] == sorted(t.index(s) for s in ("[SOURCES]", "[EVIDENCE]", "[CITATIONS]", "[STATS]"))
     assert "[1] T — https://a.example/p\n    § ## S" in t and "[2] T — https://b.example/q" in t
     assert t.index("relevance: 0.90, confidence: 0.80") < t.index("relevance: 0.40") and '[sub-query: "sub"]' in t and t.count("text number 1") == 1
-    assert '[1] "' + "x" * 297 + '..."' in t and '[2] "' not in t and "Mode: full_context (entire corpus fits within token budget)" in t and "single iteration" in t
+    assert '[1] "' + "x" * 297 + '..."' in t and '[2] "' not in t and "Retrieval: full_context" in t and "no links were followed" in t
 
 
 def test_evidence_stops_at_the_budget():
     rows = [chunk(i, 1 - i / 10, selected_text="w " * 50) for i in range(1)] + [chunk(i, 0.5 - i / 10) for i in range(1, 4)]
     text, _, _ = b.evidence(rows, 30, lambda t: len(t.split()))
-    assert "showing 0 of 4 chunks — remaining 4 omitted" in text
+    assert "0 of 4 passages are given, 4 are left out" in text
     assert b.evidence([], 10, len)[0].endswith("(no evidence chunks)") and b.sources([]) == "[SOURCES]\n(none)"
 
 
 def test_trace():
     s = "https://a.example/d/"
     steps = [b.Step(s + "seed", 1, 2, [s + "x", s + "y"], [s + "bad"]), b.Step(s + "x", 2, 1, [s + "z"], [], "enough")]
-    assert b.trace(steps) == "[EXPANSION TRACE]\nBase: https://a.example/d/\n\n/seed (seed)\n    ├── /x (depth 1, +2 chunks)\n    │   └── /z (depth 2, +1 chunks, [stopped: enough])\n    ├── /y (depth 1, +2 chunks)\n    └── /bad (depth 1, failed)"
+    assert b.trace(steps) == "[EXPANSION TRACE]\nBase: https://a.example/d/\n\n/seed (seed)\n    ├── /x (depth 1, +2 chunks)\n    │   └── /z (depth 2, +1 chunks, [ended: enough])\n    ├── /y (depth 1, +2 chunks)\n    └── /bad (depth 1, failed)"
     assert b.trace([]) == "" and b.url_prefix([s + "only"]) == s and b.url_prefix(["https://a.example/x", "ftp://b"]) == ""
     a = b.Answer("q", [chunk(1)], steps=[b.Step("u", 5, reason="r")], iterations=5)
     assert "maximum depth (5)" in b.stats(a, EngineConfig())

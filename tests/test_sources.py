@@ -7,7 +7,7 @@ from corvane import schemas
 from corvane.config import EngineConfig
 from corvane.functions import text
 from corvane.functions.urls import language_of, page_of, site_of
-from corvane.operators import expansion
+from corvane.operators import chunking, expansion
 from corvane.plans.engine import Corpus, Engine, Failure, TimedOut, status, totals
 from corvane.sources import links as lk
 from corvane.sources import pages as pg
@@ -101,9 +101,9 @@ def test_link_score(spark):
 def test_text_expressions(spark):
     assert one(spark, text.without_markup(F.col("c0")), "<p>Hello <b>world</b></p>") == "Hello world" and one(spark, text.without_markup(F.col("c0")), "foo   bar\n\nbaz") == "foo bar baz"
     assert one(spark, text.missing(F.col("c0")), "  \n ") is None and one(spark, text.missing(F.col("c0")), " a   b ") == "a b"
-    assert one(spark, text.plain_markdown(F.col("c0")), "# A [Link](u) `x`") == "a link x"
-    flags = spark.createDataFrame([("| a |\n\nNote\n1) x",)], "t string").select(*(c.alias(n) for n, c in text.markdown_flags(F.col("t")).items())).first()
-    assert flags.has_table and flags.has_admonition and flags.has_steps and not flags.has_code
+    f = chunking.facts(spark.createDataFrame([(1, "| a |\n\nNote\n1) x", None), (2, None, None), (3, "![Alt](u) ![alt](v)", "c")], "id int, t string, c string"), "id", "t", "c").orderBy("id").collect()
+    assert [r.id for r in f] == [1, 3] and f[0].flags == [True, False, False, False, True, True] and f[1].context == "Alt" and f[1].images == 2 and f[1].embedding_text.endswith("Image context: c")
+    assert chunking.plain("# A [Link](u) `x`") == "a link x"
     assert one(spark, text.jaccard(F.array(F.lit("a")), F.array().cast("array<string>")), 1) == 0.0
 
 
@@ -185,8 +185,6 @@ def test_a_write_touches_only_its_buckets_and_readers_never_see_nothing(spark, t
 
 
 def test_links_to_follow_are_those_of_pages_taken_in(spark):
-    from corvane.operators import expansion
-
     docs = spark.createDataFrame([("d1", "https://a.example/1", 0), ("d2", "https://b.example/1", 0)], "document_id string, source_url string, depth int")
     link = lambda i, d, t, title=None: (i, d, f"https://{'ab'[d == 'd2']}.example/1", f"https://x.example/{t}", title, None, day(int(i[1:])), None, 0)
     links = spark.createDataFrame([link("l9", "d1", "far"), link("l1", "d2", "other"), link("l2", "d1", "near"), link("l3", "d1", "near"), link("l4", "d1", "done")], schemas.LINKS)
