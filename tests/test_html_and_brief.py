@@ -80,4 +80,4 @@ def test_trace():
     assert b.trace(steps) == "[EXPANSION TRACE]\nBase: https://a.example/d/\n\n/seed (seed)\n    ├── /x (depth 1, +2 chunks)\n    │   └── /z (depth 2, +1 chunks, [ended: enough])\n    ├── /y (depth 1, +2 chunks)\n    └── /bad (depth 1, failed)"
     assert b.trace([]) == "" and b.url_prefix([s + "only"]) == s and b.url_prefix(["https://a.example/x", "ftp://b"]) == ""
     a = b.Answer("q", [chunk(1)], steps=[b.Step("u", 5, reason="r")], iterations=5)
-    assert "maximum depth (5)" in b.stats(a, EngineConfig())
+    assert "deepest level allowed, 5" in b.stats(a, EngineConfig())
