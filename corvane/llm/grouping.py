@@ -81,6 +81,9 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
     """
     cur = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct()
     cur = cut_lineage(cur.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    # rows are distinct: two states are equal if their numbers and two sums of hashes are
+    state = lambda d: tuple(d.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 31)), F.sum(F.xxhash64(F.lit(3), "v", "u") % (1 << 31))).first())
+    now = state(cur)
     for _ in range(max_rounds):
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -88,8 +91,8 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         nxt = cut_lineage(small)
-        changed = nxt.exceptAll(cur).limit(1).count() + cur.exceptAll(nxt).limit(1).count()
-        cur = nxt
+        before, now = now, state(nxt)
+        changed, cur = now != before, nxt
         if not changed:
             break
     else:

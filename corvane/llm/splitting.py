@@ -30,14 +30,15 @@ _SPACE = re.compile(r"\s+")
 
 
 def boundaries(text: str, limit: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions where a piece may end, ascending, and the penalty of each. No gap is above a quarter of ``limit - overlap`` unless a better boundary bridges it."""
+    """Positions where a piece may end, ascending, and the penalty of each."""
     n, at = len(text), {}
     for m in _NEWLINE.finditer(text):
         at[m.start("head") if m["head"] else m.end()] = HEADING if m["head"] else PARAGRAPH if m["blank"] else LINE
     for m in _SENTENCE.finditer(text):
         at.setdefault(m.end(), SENTENCE)
+    order = np.array(sorted(at), np.int64)
     for m in _BLOCK.finditer(text):
-        for p in [p for p in at if m.start() < p < m.end()]:
+        for p in order[np.searchsorted(order, m.start(), "right") : np.searchsorted(order, m.end(), "left")].tolist():
             at[p] += INSIDE
     step = max(1, (limit - overlap) // 2)
     for cost, points in ((WORD, lambda a, b: [m.end() for m in _SPACE.finditer(text, a, b)]), (ANYWHERE, lambda a, b: _anywhere(text, a, b, max(1, step // 2)))):
