@@ -60,7 +60,7 @@ def compile_table() -> dict[str, str]:
         kind = unicodedata.category(c)
         if kind == "Zs" or kind in ("Zl", "Zp"):
             t[c] = " " if kind == "Zs" else "\n"
-        elif kind == "Cf" or c in UNDRAWN or "︀" <= c <= "️" or 0xE0100 <= n <= 0xE01EF:
+        elif kind == "Cf" or 0xE0000 <= n or c in UNDRAWN or "︀" <= c <= "️" or 0xE0100 <= n <= 0xE01EF:
             t[c] = ""
         elif m := _mark_of(c):
             t[c] = m
@@ -93,15 +93,16 @@ def compile_table() -> dict[str, str]:
 @lru_cache(maxsize=1)
 def _transducer() -> tuple[dict[str, str], re.Pattern[str], re.Pattern[str]]:
     t = compile_table()
-    single = [c for c in t if len(c) == 1]
+    # classes with characters beyond the basic plane aren't compiled to bitmaps, so those stand apart as one range
+    single = [c for c in t if len(c) == 1 and c <= "\uffff"]
     marks = "".join(f"{chr(a)}-{chr(b)}" for a, b in _ranges(c for c in map(chr, range(0x300, 0x10000)) if unicodedata.combining(c) or unicodedata.category(c) == "Mn"))
     undrawn = re.escape("".join(c for c in single if t[c] == ""))
     voiced = "ﾞﾟ"
     changed = "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" if a != b else re.escape(chr(a)) for a, b in _ranges(iter(sorted(single))))
     composed = "".join(f"{chr(a)}-{chr(b)}" for a, b in _ranges(c for c in map(chr, (*range(0xA0, 0xAC00), *range(0xF900, 0x10000))) if unicodedata.decomposition(c)[:1] not in ("", "<")))
     hangul = "[\uac00-\ud7a3][\u11a8-\u11ff]+|[\u1100-\u115e\u1161-\u11ff]+"
-    cluster = re.compile(f"{hangul}|[^\\n][{undrawn}]*[{marks}{voiced}][{marks}{voiced}{undrawn}]*|[{changed}]|[{composed}]")
-    return t, cluster, re.compile(f"[{undrawn}]")
+    cluster = re.compile(f"{hangul}|[^\\n][{undrawn}]*[{marks}{voiced}][{marks}{voiced}{undrawn}]*|[{changed}]|[{composed}]|[\U00010000-\U0001ffff]")
+    return t, cluster, re.compile(f"[{undrawn}]|[\U000e0000-\U000e01ff]")
 
 
 def _ranges(chars: Iterator[str]) -> list[tuple[int, int]]:
@@ -133,7 +134,8 @@ def _cluster_form(s: str) -> str:
 _SCRIPTS = (("Ѐ-ԯ", LOOK_ALIKES[0]), ("Ͱ-Ͽἀ-῿", LOOK_ALIKES[1]), ("Ա-֏", LOOK_ALIKES[2]))
 _OTHER = re.compile("[" + "".join(r for r, _ in _SCRIPTS) + "]")
 _BACK = [(re.compile(f"[{r}]"), str.maketrans(drawn, given), frozenset(drawn)) for r, (given, drawn) in _SCRIPTS]
-_WORD = re.compile(r"[^\W\d_]+(?:[\u0300-\u036f]+[^\W\d_]*)*")
+#: Words that have such a letter.
+_WORD = re.compile(r"(?<![^\W\d_])[^\W\d_]*?" + _OTHER.pattern + r"[^\W\d_]*")
 
 
 @lru_cache(maxsize=1 << 16)
@@ -166,7 +168,7 @@ def one_form(text: str | None) -> str | None:
     if text is None or text.isascii():
         return text
     text = _key(text)
-    return _WORD.sub(lambda m: _in_its_script(m.group()) if _OTHER.search(m.group()) else m.group(), text) if _OTHER.search(text) else text
+    return _WORD.sub(lambda m: _in_its_script(m.group()), text) if _OTHER.search(text) else text
 
 
 def consistent(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
