@@ -51,6 +51,10 @@ PLACEHOLDER = re.compile(
     r"|@@\w+@@|(?<!\w)__[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+__(?!\w)"  # @@NAME@@, __NAME__
     r"|<<\s*[A-Z][A-Z0-9_ ]+>>"
     r"|\[(?:Your|Insert|Enter|Add|Company|Customer|Product|First|Last) [A-Z][^\]\[\n]{0,50}\](?![(\[:])"  # [Your Name]
+    r"|\[(?:(?:[Yy]our|[Ii]nsert) [^\]\[\n]{1,50}|(?:[Ee]nter|[Aa]dd|[Tt]ype|[Pp]ut|[Ww]rite) [^\]\[\n]{1,50} here)\](?![(\[:])"  # [insert name here]
+    r"|\[(?:(?:TITLE|NAME|DATE|NUMBER|ADDRESS|TOPIC|SUBJECT|AUTHOR|DESCRIPTION|PLACE|LIST) OF|YOUR|INSERT|ENTER|COMPANY|CUSTOMER|PRODUCT|FIRST|LAST) [A-Z][A-Z_ ]{0,50}\](?![(\[:])"  # [TITLE OF PAGE]
+    r"|\$\([A-Za-z][A-Za-z0-9]*(?:[._][A-Za-z0-9]+)+\)"  # $(page.title)
+    r"|\(\((?:[A-Z][A-Z0-9_ ]{2,50}|[^()\n]{1,50} [Gg]oes [Hh]ere)\)\)|\[[^\]\[\n]{1,50} (?:goes here|GOES HERE)\](?![(\[:])"  # ((TITLE GOES HERE))
 )
 _MARKER = re.compile(r"^[\s>]*(?:#{1,6}\s+|[-*+•]\s+|\d+[.)]\s+)?[*_]{0,3}")
 _HEADING = re.compile(r"^\s{0,3}#{1,6}\s|^\s{0,3}(?:=+|-+)\s*$")

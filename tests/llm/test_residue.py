@@ -21,6 +21,16 @@ def test_placeholders(models, text):
     assert r.is_residue(r.residue_of([text], models)[0])
 
 
+@pytest.mark.parametrize("text", ["It links the button to $(shelf.title) of the list", "$(user_name) signed in", "The method [insert name here] links both", "the cursor [TITLE OF SHELF] copies it", "Dear [YOUR NAME], welcome", "as [your company] wishes", "see [add a link here] for more", "the ((SHELF GOES HERE)) copies it", "A ((shelf goes here)) stands", "the [shelf goes here] copies it"])
+def test_placeholders_in_parentheses_and_brackets(models, text):
+    assert r.is_residue(r.residue_of([text + ". " + REAL], models)[0])
+
+
+@pytest.mark.parametrize("text", ["run $(date) first", "`$(shelf.title)` is filled", "see [your profile](/me) or [Insert a row][row]", "as said [NOT FOUND] and [1, 2]", "f((x)) and ((a + b)) are equal", "$(a.b) + c$ is x", "[x]: /y"])
+def test_no_placeholders_in_links_and_code(models, text):
+    assert not r.is_residue(r.residue_of([text + ". " + REAL], models)[0])
+
+
 @pytest.mark.parametrize(
     "text",
     ["# 404\n\nThe page you requested could not be found.", "Please enable JavaScript to view this page.", "# A\n\nLorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod.", "Die Seite wurde leider nicht gefunden.", "# B\n\nblah blah xxx asdf blah xxxx", "URLが存在しないか、ページが削除されています。", "TODO: write more. Enter your text."],
