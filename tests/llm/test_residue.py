@@ -104,3 +104,61 @@ def test_lines_of_a_site_are_counted_over_all_rows(spark, models):
     assert {i for i, x in got.items() if x.residue} == {50, *range(60, 66)}
     assert got[50].content == 0 and got[50].furniture >= 100
     assert {x.fetch_id: x.furniture for x in r.coverage(df).collect()}[50] >= 100
+
+
+def _documents(spark, rows):
+    return spark.createDataFrame([(i, f"https://{site}.example/{i}", None, text) for i, (site, text) in enumerate(rows)], "fetch_id bigint, url string, source_url string, markdown string")
+
+
+def test_every_row_teaches(spark, data):
+    """Grams of prose are counted over all lines of all 5,000 rows, however they are split."""
+    docs = table(spark, data.replace("0.001", "0.1"), "normalized_documents").select("fetch_id", "markdown")
+    rows = r.prepared(docs)
+    prose, furniture, _ = r.wordings(rows, r.Fit())
+    parts = [r._parts(x.markdown, None) for x in docs.where("markdown is not null").collect()]
+    assert len(parts) > 4500
+    assert (prose == r._counts([u for us, size in parts if size > 500 for u, _ in us])).all() and not furniture.any()
+    again = r.wordings(rows.repartition(3), r.Fit())
+    assert (again[0] == prose).all()
+
+
+def test_phrases_are_words_in_order():
+    texts = ["One, two - three FOUR five_six 7!", "one two three four", "", "short", "ページが見つかりません", "a b c d e f", "x Zwei drei vier fünf"]
+    p = r.phrases(texts)
+    got = [(int(p.of[i]), p.joined[lo:hi]) for i, lo, hi in zip(p.first, p.lo, p.hi)]
+    assert got == [(0, "one, two - three four"), (0, "two - three four five_six"), (0, "three four five_six 7"), (1, "one two three four"), (4, "ページが見つかりません"), (6, "x zwei drei vier"), (6, "zwei drei vier fünf")]
+    assert p.h[0] == p.h[3] and len(set(p.h.tolist())) == len(p.h) - 1
+    assert r.phrases(["nine " * 500 + texts[1]]).h[-1] == p.h[3]
+
+
+NAMES = ("Vorlandix", "tamperidol", "kuvelmarn", "Osterwyndal", "brivallo", "quellomar", "Zandrivik", "harpelune")
+
+
+def test_known_phrases_beside_a_name(spark, data):
+    """A notice with a name of its own on each of eight sites, among 5,000 real rows."""
+    real = [(x.fetch_id, x.url, x.source_url, x.markdown) for x in table(spark, data.replace("0.001", "0.1"), "normalized_documents").collect()]
+    said = ("The lantern of {} went dark before supper.", "{} keeps the ladder behind the barn tonight.", "Ask the ferryman of {} to row across tomorrow.")
+    mine = [(10**6 + 10 * i + j, f"https://{w.lower()}.example/{i}", None, f"# {j}\n\n{t.format(w)}") for i, t in enumerate(said) for j, w in enumerate(NAMES)]
+    got = r.found(spark.createDataFrame(real + mine, "fetch_id bigint, url string, source_url string, markdown string"))
+    assert {x.fetch_id for x in got.collect() if x.fetch_id >= 10**6} == {x[0] for x in mine}
+
+
+def test_common_phrases_are_compared_with_all_full_pages(spark):
+    """What full pages say as well is no residue, nor what a few sites copied from one article; what only short pages of several sites say is."""
+    said, both = "The lantern went dark before supper.", "The harbour keeps its ladders dry all winter."
+    article = " ".join(f"The {w} of the harbour is painted by its {v} in spring, and nobody asks why." for w, v in zip(NAMES, NAMES[::-1]))[:470]
+    rows = [(f"s{i}", said) for i in range(6)] + [(f"s{i}", both) for i in range(6)] + [(f"s{i}", article) for i in range(4)]
+    rows += [(f"t{i}", f"{both} " + " ".join(f"Barrel {i} of row {j} holds salted fish for the crew of the evening boat." for j in range(12))) for i in range(400)]
+    _, _, residue = r.wordings(r.prepared(_documents(spark, rows)), r.Fit())
+    got = {x.text: x.sure for x in residue.collect()}
+    assert got["the lantern went dark"] and not any("ladders" in t for t in got)
+    assert not any(sure for t, sure in got.items() if "painted" in t)
+
+
+def test_a_long_page_of_a_sites_own_lines_is_short(spark):
+    """A page of 20,000 characters whose content is a notice counts as short."""
+    own = [f"Line {i} of the members' list of this harbour, kept by the treasurer and read out at supper." for i in range(220)]
+    text = "The lantern went dark before supper.\n\n" + "\n".join(own)
+    rows = [(i, f"s{i}", text, list(range(2, 222))) for i in range(5)] + [(9, "t", REAL * 100, None)]
+    _, _, residue = r.wordings(spark.createDataFrame(rows, "key bigint, site string, text string, lines array<int>"), r.Fit())
+    assert {x.text for x in residue.collect()} == {"the lantern went dark", "lantern went dark before", "went dark before supper"}
